@@ -11,10 +11,21 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    Catalyst copies the text of an aliased expression into every filter it pushes
+    down, so a costly column (a lower-cased text, a keyword scan, a regex) used by
+    a later filter would run again there. Passing the columns through a
+    one-element generator gives them a value that filters refer to."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _test(text: Column, word: str, match: str) -> Column:
     if match == "substring":
         return text.contains(word)
@@ -57,7 +68,14 @@ def first_label(text: Column, lexicon: Mapping[str, Sequence[str]], default,
     return out.otherwise(F.lit(default))
 
 
+INLINE_WORDS = 32  # longer lists go through an array, to keep generated code small
+
+
 def first_word(text: Column, words: Sequence[str], default=None) -> Column:
+    """First word of the list that the text holds, in list order."""
+    if len(words) > INLINE_WORDS:
+        found = F.try_element_at(hit_words(text, words), F.lit(1))
+        return F.coalesce(found, F.lit(default).cast("string"))
     return F.coalesce(
         *[F.when(text.contains(w), F.lit(w)) for w in words], F.lit(default).cast("string")
     )

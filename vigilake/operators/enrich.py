@@ -13,23 +13,21 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import dims, lexicons as lex
 from vigilake.functions.match import (any_of, count_hits, first_label, first_word, has_any,
-                                      hit_words, lookup, steps, weighted_hits)
+                                      hit_words, lookup, once, steps, weighted_hits)
 
 
 # --- classification ---------------------------------------------------------
 
 def classify(df: DataFrame, lexicon: Mapping[str, Sequence[str]], col: str, default: str,
              out: str = "label", match: str = "substring") -> DataFrame:
-    lowered = df.withColumn("_text", F.lower(F.coalesce(F.col(col), F.lit(""))))
-    return lowered.withColumn(out, first_label(F.col("_text"), lexicon, default, match)).drop("_text")
+    lowered = once(df, _text=F.lower(F.coalesce(F.col(col), F.lit(""))))
+    return once(lowered, **{out: first_label(F.col("_text"), lexicon, default, match)}).drop("_text")
 
 
 def classify_with_confidence(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
     """Statistics type and its fixed confidence, from title and content together."""
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
-    typed = df.withColumn("_text", text).withColumn(
-        "stats_type", first_label(F.col("_text"), lex.STATS_TYPES, "general")
-    )
+    typed = once(once(df, _text=text), stats_type=first_label(F.col("_text"), lex.STATS_TYPES, "general"))
     return typed.withColumn(
         "stats_confidence", lookup(F.col("stats_type"), lex.STATS_TYPE_CONFIDENCE, 0.5)
     ).drop("_text")
@@ -55,7 +53,7 @@ def extract_location(df: DataFrame, col: str = "title", fallback_country: str =
         columns,
     )
     text = F.lower(F.coalesce(F.col(col), F.lit("")))
-    keyed = df.withColumn("_text", text).withColumn("_place", F.coalesce(
+    keyed = once(df, _text=text).withColumn("_place", F.coalesce(
         F.concat(F.lit("city:"), first_word(F.col("_text"), [r[0] for r in dims.INGEST_CITIES])),
         F.concat(F.lit("country:"), first_word(F.col("_text"), [r[0] for r in dims.INGEST_COUNTRIES])),
     )).drop("_text")
@@ -74,13 +72,13 @@ def dominant_country(df: DataFrame, text: Column, lat: Column | None = None, lng
                      out: str = "stats_country") -> DataFrame:
     """Country with the most keyword mentions, list order breaking ties; without
     any mention the coordinates decide by box."""
-    lowered = df.withColumn("_text", F.lower(text))
+    lowered = once(df, _text=F.lower(text))
     scored = F.array(*[
         F.struct(count_hits(F.col("_text"), words).alias("score"), F.lit(-i).alias("rank"),
                  F.lit(code).alias("code"))
         for i, (code, words) in enumerate(lex.COUNTRY_MENTIONS.items())
     ])
-    best = lowered.withColumn("_best", F.array_max(scored))
+    best = once(lowered, _best=F.array_max(scored))
     by_box = F.lit("unknown")
     if lat is not None and lng is not None:
         boxed = None
@@ -88,9 +86,9 @@ def dominant_country(df: DataFrame, text: Column, lat: Column | None = None, lng
             inside = (lat > lat_lo) & (lat < lat_hi) & (lng > lng_lo) & (lng < lng_hi)
             boxed = F.when(inside, F.lit(code)) if boxed is None else boxed.when(inside, F.lit(code))
         by_box = boxed.otherwise(F.lit("unknown"))
-    return best.withColumn(
-        out, F.when(F.col("_best.score") > 0, F.col("_best.code")).otherwise(by_box)
-    ).drop("_text", "_best")
+    return once(best, **{
+        out: F.when(F.col("_best.score") > 0, F.col("_best.code")).otherwise(by_box)
+    }).drop("_text", "_best")
 
 
 # --- casualties -------------------------------------------------------------
@@ -110,12 +108,12 @@ def casualties(df: DataFrame, text: Column, mode: str = "max", prefix: str = "ca
     each into the class its own context names. Civilian is the default class.
     """
     total, mil, civ = (f"{prefix}_{n}" for n in ("total", "military", "civilian"))
-    lowered = df.withColumn("_text", F.lower(F.coalesce(text, F.lit(""))))
+    lowered = once(df, _text=F.lower(F.coalesce(text, F.lit(""))))
     patterns, reach, soldiers = {
         "max": (lex.CASUALTY_PATTERNS_MAX, 150, lex.MILITARY_CONTEXT_MAX),
         "sum": (lex.CASUALTY_PATTERNS_SUM, 100, lex.MILITARY_CONTEXT_SUM),
     }[mode]
-    found = lowered.withColumn("_found", F.filter(
+    found = once(lowered, _found=F.filter(
         F.concat(*[F.regexp_extract_all("_text", F.lit(p), F.lit(1)) for p in patterns]),
         lambda m: m.try_cast("bigint").isNotNull(),
     ))
@@ -124,21 +122,20 @@ def casualties(df: DataFrame, text: Column, mode: str = "max", prefix: str = "ca
             m.cast("bigint").alias("n"), has_any(_around(F.col("_text"), m, reach), soldiers).alias("mil")
         ))
         zero = F.lit(0).cast("bigint")
-        out = found.withColumn("_rows", rows)
+        sums = once(once(found, _rows=rows), **{
+            total: F.aggregate("_rows", zero, lambda a, r: a + r["n"]),
+            mil: F.aggregate("_rows", zero, lambda a, r: a + F.when(r["mil"], r["n"]).otherwise(0))})
         return (
-            out.withColumn(total, F.aggregate("_rows", zero, lambda a, r: a + r["n"]))
-            .withColumn(mil, F.aggregate("_rows", zero, lambda a, r: a + F.when(r["mil"], r["n"]).otherwise(0)))
-            .withColumn(civ, F.col(total) - F.col(mil))
+            sums.withColumn(civ, F.col(total) - F.col(mil))
             .drop("_text", "_found", "_rows")
         )
     last = F.try_element_at("_found", F.lit(-1))
     number = F.coalesce(last.cast("bigint"), F.lit(0).cast("bigint"))
     is_mil = F.coalesce(has_any(_around(F.col("_text"), last, reach), soldiers), F.lit(False))
+    counted = once(found, _number=number, _mil=is_mil, **{total: F.coalesce(
+        F.array_max(F.transform("_found", lambda m: m.cast("bigint"))), F.lit(0).cast("bigint"))})
     return (
-        found.withColumn(total, F.coalesce(F.array_max(F.transform("_found", lambda m: m.cast("bigint"))),
-                                           F.lit(0).cast("bigint")))
-        .withColumn("_number", number).withColumn("_mil", is_mil)
-        .withColumn(mil, F.when(F.col("_mil"), F.col("_number")).otherwise(F.lit(0).cast("bigint")))
+        counted.withColumn(mil, F.when(F.col("_mil"), F.col("_number")).otherwise(F.lit(0).cast("bigint")))
         .withColumn(civ, F.when((F.col("_number") == 0), F.col(total))
                     .when(F.col("_mil"), F.lit(0).cast("bigint")).otherwise(F.col("_number")))
         .drop("_text", "_found", "_number", "_mil")
@@ -178,14 +175,14 @@ def recap_score(df: DataFrame, title: str = "title", content: str = "content") -
     """Weighted recap score with its flag (score >= 2.5) and confidence; rows
     scoring above 3.0 are the ones screening drops."""
     text = F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))))
-    lowered = df.withColumn("_text", text)
+    lowered = once(df, _text=text)
     places = F.greatest(count_hits(F.col("_text"), lex.SIGNATURE_PLACES), F.lit(1))
     score = weighted_hits(F.col("_text"), lex.RECAP_PHRASES) + F.when(
         places > lex.RECAP_MANY_PLACES, F.lit(lex.RECAP_MANY_PLACES_WEIGHT)).otherwise(F.lit(0.0))
     for pattern in lex.RECAP_PATTERNS:
         score = score + F.when(F.col("_text").rlike(pattern), F.lit(lex.RECAP_PATTERN_WEIGHT)).otherwise(F.lit(0.0))
     return (
-        lowered.withColumn("recap_score", score)
+        once(lowered, recap_score=score)
         .withColumn("is_recap", F.col("recap_score") >= lex.RECAP_FLAG_AT)
         .withColumn("recap_confidence", F.least(F.col("recap_score") / F.lit(5.0), F.lit(1.0)))
         .withColumn("recap_dropped", F.col("recap_score") > lex.RECAP_DROP_ABOVE)
@@ -195,8 +192,8 @@ def recap_score(df: DataFrame, title: str = "title", content: str = "content") -
 
 def confidence(df: DataFrame, as_of: str, published: str = "published") -> DataFrame:
     """Confidence points and level; the recency bonus compares in UTC."""
-    lowered = df.withColumn("_source", F.lower(F.coalesce("source", F.lit("")))).withColumn(
-        "_title", F.lower(F.coalesce("title", F.lit(""))))
+    lowered = once(df, _source=F.lower(F.coalesce("source", F.lit(""))),
+                   _title=F.lower(F.coalesce("title", F.lit(""))))
     points = sum(
         (F.when(has_any(F.col("_" + col), words), F.lit(n)).otherwise(F.lit(0))
          for n, col, words in lex.CONFIDENCE_POINTS), F.lit(0))
@@ -204,7 +201,7 @@ def confidence(df: DataFrame, as_of: str, published: str = "published") -> DataF
     points = points + F.coalesce(steps(seconds, [(6 * 3600, 10), (24 * 3600, 5)], 0, "lt"), F.lit(0))
     points = F.when(F.col(published).isNull(), points).otherwise(points)
     return (
-        lowered.withColumn("confidence_points", points)
+        once(lowered, confidence_points=points)
         .withColumn("confidence", steps(F.col("confidence_points"), lex.CONFIDENCE_LEVELS, "OSINT"))
         .drop("_source", "_title")
     )
@@ -214,7 +211,7 @@ def signature(df: DataFrame, title: str = "title", location: str = "location", d
     """Event type, known places of the location and the full date string, hashed."""
     kind = first_label(F.lower(F.coalesce(F.col(title), F.lit(""))), lex.EVENT_TYPES, "incident")
     places = place_keywords(F.lower(F.coalesce(F.col(location), F.lit(""))))
-    return df.withColumn("event_kind", kind).withColumn("signature", F.substring(
+    return once(df, event_kind=kind).withColumn("signature", F.substring(
         F.md5(F.concat_ws(":", F.col("event_kind"), places, F.coalesce(F.col(date), F.lit(""))).cast("binary")), 1, 16))
 
 
@@ -344,7 +341,7 @@ def sentiment(df: DataFrame, col: str = "title", phrases: bool = False) -> DataF
     ``phrases=True`` they are searched in the text instead."""
     text = F.lower(F.coalesce(F.col(col), F.lit("")))
     tokens = F.filter(F.array_distinct(F.split(text, r"\s+")), lambda t: t != "")
-    out = df.withColumn("_text", text).withColumn("_tokens", tokens)
+    out = once(df, _text=text, _tokens=tokens)
 
     def terms(words: Sequence[str]) -> Column:
         hits = F.array_intersect(F.array(*[F.lit(w) for w in words]), F.col("_tokens"))
@@ -354,9 +351,8 @@ def sentiment(df: DataFrame, col: str = "title", phrases: bool = False) -> DataF
                 hits = F.array_union(hits, hit_words(F.col("_text"), multi))
         return F.array_sort(hits)
 
-    out = (out.withColumn("positive_terms", terms(lex.POSITIVE_WORDS))
-           .withColumn("negative_terms", terms(lex.NEGATIVE_WORDS))
-           .withColumn("critical_terms", terms(lex.CRITICAL_WORDS)))
+    out = once(out, positive_terms=terms(lex.POSITIVE_WORDS), negative_terms=terms(lex.NEGATIVE_WORDS),
+               critical_terms=terms(lex.CRITICAL_WORDS))
     raw = ((F.size("positive_terms") - F.size("negative_terms")).cast("double")
            / F.greatest(F.lit(1), F.size("_tokens")) * F.lit(100.0))
     return (
@@ -396,9 +392,9 @@ def extract_entities(df: DataFrame, countries: str = "countries", title: str = "
 
 def actor_action(df: DataFrame, col: str = "title") -> DataFrame:
     """First actor and first action named; both null unless both are found."""
-    lowered = df.withColumn("_text", F.lower(F.coalesce(F.col(col), F.lit(""))))
-    lowered = (lowered.withColumn("_actor", first_label(F.col("_text"), lex.ACTORS, None))
-               .withColumn("_action", first_label(F.col("_text"), lex.ACTIONS, None)))
+    lowered = once(df, _text=F.lower(F.coalesce(F.col(col), F.lit(""))))
+    lowered = once(lowered, _actor=first_label(F.col("_text"), lex.ACTORS, None),
+                   _action=first_label(F.col("_text"), lex.ACTIONS, None))
     both = F.col("_actor").isNotNull() & F.col("_action").isNotNull()
     return (lowered.withColumn("actor", F.when(both, F.col("_actor")))
             .withColumn("action", F.when(both, F.col("_action"))).drop("_text", "_actor", "_action"))
@@ -410,8 +406,7 @@ def threat_indicators(posts: DataFrame, accounts: DataFrame | None = None) -> Da
         accounts = dims.seed_table(posts.sparkSession, dims.ACCOUNTS,
                                    ["account", "account_name", "account_country", "account_credibility"])
     return (
-        posts.withColumn("_text", F.lower("content"))
-        .withColumn("threat_indicators", hit_words(F.col("_text"), lex.THREAT_WORDS))
+        once(once(posts, _text=F.lower("content")), threat_indicators=hit_words(F.col("_text"), lex.THREAT_WORDS))
         .filter(F.size("threat_indicators") > 0)
         .withColumn("threat_severity", F.when(F.size("threat_indicators") >= 2, "high").otherwise("medium"))
         .drop("_text").join(accounts, "account")
@@ -422,10 +417,9 @@ def interception_flags(df: DataFrame) -> DataFrame:
     """``is_intercepted``, and ``is_impacted`` for what was not intercepted."""
     title = F.lower(F.coalesce("title", F.lit("")))
     kind = F.lower(F.coalesce("type", F.lit("")))
-    out = df.withColumn("_title", title).withColumn("_kind", kind)
+    out = once(df, _title=title, _kind=kind)
     return (
-        out.withColumn("is_intercepted", has_any(F.col("_title"), lex.INTERCEPTION_WORDS)
-                       | (F.col("_kind") == "air_defense"))
+        once(out, is_intercepted=has_any(F.col("_title"), lex.INTERCEPTION_WORDS) | (F.col("_kind") == "air_defense"))
         .withColumn("is_impacted", ~F.col("is_intercepted") & (
             F.col("_kind").isin(lex.IMPACT_TYPES) | has_any(F.col("_title"), lex.IMPACT_WORDS)))
         .drop("_title", "_kind")

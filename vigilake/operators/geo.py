@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions import dims
-from vigilake.functions.match import first_word
+from vigilake.functions.match import first_word, once
 from vigilake.operators.similarity import ratio
 
 _CITIES = [r[0] for r in dims.GEO_CITIES]
@@ -37,7 +37,10 @@ def nearest_name(tokens: DataFrame, names: DataFrame, cutoff: float = 0.8) -> Da
                        F.floor(F.length("name") * F.lit((2 - cutoff) / cutoff) + 1e-9).cast("int"))
     by_length = names.select("name", F.explode(reach).alias("_len"))
     distinct = tokens.select("token").distinct().withColumn("_len", F.length("token"))
-    scored = distinct.join(by_length, "_len").withColumn("score", ratio(F.col("name"), F.col("token")))
+    # a pair at the cutoff is at most (1 - cutoff) x (total length) edits apart
+    budget = F.floor((F.length("name") + F.length("token")) * F.lit(1 - cutoff) + 1e-9)
+    close = distinct.join(by_length, "_len").filter(F.levenshtein("name", "token") <= budget)
+    scored = close.withColumn("score", ratio(F.col("name"), F.col("token")))
     return scored.filter(F.col("score") >= cutoff).groupBy("token").agg(
         F.max(F.struct("score", "name")).alias("best")).select("token", F.col("best.name").alias("name"), "best.score")
 
@@ -58,12 +61,8 @@ def geocode(df: DataFrame, id_col: str = "id", title: str = "title", location: s
     tries the location text before the title, as one unit with its fuzzy match."""
     text = F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))))
     loc, ttl = F.lower(F.coalesce(F.col(location), F.lit(""))), F.lower(F.coalesce(F.col(title), F.lit("")))
-    out = df.withColumns({
-        "_text": text, "_loc": loc, "_ttl": ttl,
-    }).withColumns({
-        "_point": text_coordinates(F.col("_text")),
-        "_loc_city": _city(F.col("_loc")), "_ttl_city": _city(F.col("_ttl")),
-    })
+    out = once(once(df, _text=text, _loc=loc, _ttl=ttl), _point=text_coordinates(F.col("_text")),
+               _loc_city=_city(F.col("_loc")), _ttl_city=_city(F.col("_ttl")))
     if fuzzy:
         open_rows = out.filter(F.col("_point").isNull() & F.col("_loc_city").isNull())
         near_loc = _fuzzy(open_rows, "_loc", "_loc_near", id_col)

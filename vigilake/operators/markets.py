@@ -10,7 +10,7 @@ from vigilake.functions.match import lookup
 
 
 def _money(value: Column, decimals: int, thousands: bool) -> Column:
-    grouped = F.format_number(F.abs(value), decimals)
+    grouped = F.format_number(F.round(F.abs(value), decimals), decimals)
     plain = grouped if thousands else F.replace(grouped, F.lit(","), F.lit(""))
     return F.concat(F.lit("$"), F.when(value < 0, "-").otherwise(""), plain)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilake.functions import dims
 from vigilake.functions.match import lookup, round_half_up
 from vigilake.operators.enrich import actor_action
+from vigilake.session import cut
 
 
 def _country(df: DataFrame) -> DataFrame:
@@ -162,6 +163,7 @@ def predict(scenarios: DataFrame, incidents: DataFrame, rules: DataFrame | None
     table, deduplicated per category and outcome, best ``k`` per scenario.
     ``incidents`` should already be cut to the look-back window."""
     spark = scenarios.sparkSession
+    scenarios = cut(scenarios)  # five branches read it
     if rules is None:
         rules = dims.seed_table(spark, [(*r, i) for i, r in enumerate(dims.ACTION_RULES)], [
             "action", "category", "outcome", "probability", "timeframe", "confidence", "pos"])

@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 ROWS_PER_BLOCK_TASK = 2_000
 
 
-def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def ratio(a: Column, b: Column) -> Column:
-    """Matching-block ratio of two strings; the argument order matters."""
-    return F.pandas_udf(_matcher_ratio, T.DoubleType())(a, b)
+    """Matching-block ratio of two strings; the argument order matters. The batch
+    function is local, so it ships to executors that do not have this package."""
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(batch, T.DoubleType())(a, b)
 
 
 def similarity(a: Column, b: Column, metric: str = "ratio") -> Column:

@@ -17,7 +17,8 @@ from vigilake.functions.match import has_any, lookup, round_half_up, steps
 from vigilake.operators.enrich import (casualties, classify_with_confidence, country_code,
                                        dominant_country, interception_flags, reliability_group,
                                        ui_severity)
-from vigilake.operators.filters import at, defense_relevant, head_per_key, hours_before
+from vigilake.operators.filters import defense_relevant, head_per_key, hours_before
+from vigilake.session import cut
 
 
 def zero_fill(dimension: DataFrame, counts: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -105,6 +106,8 @@ def country_trend(recent: DataFrame) -> DataFrame:
 def country_stats(facts: DataFrame) -> DataFrame:
     """One record per listed country, zero-filled, with its trend."""
     spark = facts.sparkSession
+    facts = cut(facts.select("seq", "id", "title", "published", "stats_type", "stats_country",
+                             "cas_total", "cas_military", "cas_civilian"))  # read twice below
     listed = dims.seed_table(spark, dims.COUNTRIES, dims.COUNTRY_COLUMNS).select("code", "name", "flag")
     counts = facts.groupBy(F.col("stats_country").alias("code")).agg(*_measures())
     trend = country_trend(recent_per_country(facts)).select(

@@ -133,43 +133,46 @@ def active_notices(notams: DataFrame, as_of: str) -> DataFrame:
 _VERDICT_SCHEMA = ("incident_id string, seq bigint, verdict string, reports int, is_hidden boolean")
 
 
-class ReportState(StatefulProcessor):
+def report_processor() -> StatefulProcessor:
     """Per incident: devices that reported, the accepted count and the hidden
     flag. A hidden incident refuses reports, so its state stops growing at five
-    devices plus those added after a moderator released it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.devices = handle.getMapState("devices", "fingerprint string", "seq bigint")
-        self.summary = handle.getValueState("summary", "reports int, hidden boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        stored = self.summary.get() if self.summary.exists() else (0, False)
-        count, hidden = stored[0], stored[1]
-        pieces = [p for p in rows if len(p)]
-        if not pieces:
-            return
-        ordered = pd.concat(pieces).sort_values(["ts", "seq"])
-        out = []
-        for row in ordered.itertuples(index=False):
-            if row.action == "unhide":
-                verdict, hidden = ("released" if hidden else "not_hidden"), False
-            elif row.reason not in lex.REPORT_REASONS:
-                verdict = "invalid_reason"
-            elif hidden:
-                verdict = "under_review"
-            elif self.devices.containsKey((row.fingerprint,)):
-                verdict = "already_reported"
-            else:
-                self.devices.updateValue((row.fingerprint,), (row.seq,))
-                count += 1
-                hidden = count >= lex.HIDE_AT_REPORTS
-                verdict = "accepted_hidden" if hidden else "accepted"
-            out.append((key[0], row.seq, verdict, count, hidden))
-        self.summary.update((count, hidden))
-        yield pd.DataFrame(out, columns=["incident_id", "seq", "verdict", "reports", "is_hidden"])
-
-    def close(self) -> None:
-        pass
+    devices plus those added after a moderator released it. The class is local,
+    so it ships to executors that do not have this package."""
+    reasons, limit = frozenset(lex.REPORT_REASONS), lex.HIDE_AT_REPORTS
+
+    class ReportState(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.devices = handle.getMapState("devices", "fingerprint string", "seq bigint")
+            self.summary = handle.getValueState("summary", "reports int, hidden boolean")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            count, hidden = self.summary.get() if self.summary.exists() else (0, False)
+            pieces = [p for p in rows if len(p)]
+            if not pieces:
+                return
+            out = []
+            for row in pd.concat(pieces).sort_values(["ts", "seq"]).itertuples(index=False):
+                if row.action == "unhide":
+                    verdict, hidden = ("released" if hidden else "not_hidden"), False
+                elif row.reason not in reasons:
+                    verdict = "invalid_reason"
+                elif hidden:
+                    verdict = "under_review"
+                elif self.devices.containsKey((row.fingerprint,)):
+                    verdict = "already_reported"
+                else:
+                    self.devices.updateValue((row.fingerprint,), (row.seq,))
+                    count += 1
+                    hidden = count >= limit
+                    verdict = "accepted_hidden" if hidden else "accepted"
+                out.append((key[0], row.seq, verdict, count, hidden))
+            self.summary.update((count, hidden))
+            yield pd.DataFrame(out, columns=["incident_id", "seq", "verdict", "reports", "is_hidden"])
+
+        def close(self) -> None:
+            pass
+
+    return ReportState()
 
 
 def moderate(reports: DataFrame) -> DataFrame:
@@ -180,4 +183,4 @@ def moderate(reports: DataFrame) -> DataFrame:
         marked = marked.withColumn("action", F.lit("report"))
     rows = marked.select("incident_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "reason", "fingerprint", "action")
     return rows.groupBy("incident_id").transformWithStateInPandas(
-        ReportState(), outputStructType=_VERDICT_SCHEMA, outputMode="append", timeMode="none")
+        report_processor(), outputStructType=_VERDICT_SCHEMA, outputMode="append", timeMode="none")
