@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions import lexicons as lex
-from vigilake.functions.match import lookup, round_half_up
+from vigilake.functions.match import lookup, once, round_half_up
 
 # fixed values: phase, shown name, limit, [(above, severity)], issue, recommendation
 BOTTLENECK_RULES = [
@@ -81,12 +81,13 @@ def response_phases(incidents: DataFrame) -> DataFrame:
     level = F.coalesce("severity", F.lit("medium"))
     row = F.when(level.isin("critical", "high"), "high").when(level == "low", "low").otherwise("medium")
     combined = F.concat(F.lower(F.coalesce("type", F.lit(""))), F.lit(" "), _title())
-    out = (incidents.withColumn("_row", row)
-           .withColumn("_actor", _by_pattern(_title(), lex.ACTOR_MODIFIERS))
-           .withColumn("_threat", _by_pattern(combined, lex.THREAT_MODIFIERS)))
+    out = once(incidents, _row=row, _actor=_by_pattern(_title(), lex.ACTOR_MODIFIERS),
+               _threat=_by_pattern(combined, lex.THREAT_MODIFIERS))
+    minutes = {}
     for phase in lex.PHASES:
         base = lookup(F.col("_row"), {k: float(v[phase]) for k, v in lex.PHASE_BASES.items()}, None)
-        out = out.withColumn(phase, round_half_up(base * F.col("_actor") * F.col("_threat")))
+        minutes[phase] = round_half_up(base * F.col("_actor") * F.col("_threat"))
+    out = once(out, **minutes)
     total = sum((F.col(p) for p in lex.PHASES), F.lit(0))
     return out.withColumn("total_minutes", total).drop("_row", "_actor", "_threat")
 
@@ -103,7 +104,7 @@ def bottlenecks(phases: DataFrame) -> DataFrame:
             rank.alias("rank"), F.lit(pos).alias("pos"), F.lit(phase).alias("phase"),
             F.lit(name).alias("phase_name"), level.alias("severity"), F.lit(issue).alias("issue"),
             F.lit(advice).alias("recommendation"), minutes.alias("minutes"))))
-    return phases.withColumn("bottlenecks", F.array_sort(F.array_compact(F.array(*found))))
+    return once(phases, bottlenecks=F.array_sort(F.array_compact(F.array(*found))))
 
 
 def response_summary(df: DataFrame) -> DataFrame:
