@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.operators.enrich import confidence, recap_score, signature
-from vigilake.operators.similarity import (blocked_pairs, could_reach, letter_counts, similarity)
+from vigilake.operators.similarity import blocked_pairs, could_reach, letter_counts, similarity
 from vigilake.session import cut
 
 NEAR = 0.92
@@ -55,6 +55,10 @@ def _combined(a: str, b: str, metric: str) -> Column:
             + similarity(F.col(f"{a}.l"), F.col(f"{b}.l"), metric) * LOCATION_WEIGHT)
 
 
+def _texts(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("key", "t", "l")]).alias(side)
+
+
 def _located(classes: DataFrame) -> DataFrame:
     return classes.filter(F.length("t") > 0).select(
         F.col("cls").alias("key"), "t", "l", F.length("t").alias("n"), letter_counts(F.col("t")).alias("counts"))
@@ -88,7 +92,8 @@ def near_edges(new: DataFrame, old: DataFrame, metric: str = "ratio") -> DataFra
     pairs = blocked_pairs(left, right, "place", TITLE_FLOOR, one_sided=False).filter(
         (F.col("l.key") != F.col("r.key"))
         & could_reach("l.t", "r.t", "l.counts", "r.counts", F.lit(TITLE_FLOOR)))
-    titled = pairs.withColumn("sim", _combined("l", "r", metric)).filter(F.col("sim") > NEAR).select(
+    titled = pairs.select(_texts("l"), _texts("r")).withColumn(
+        "sim", _combined("l", "r", metric)).filter(F.col("sim") > NEAR).select(
         F.col("l.key").alias("new"), F.col("r.key").alias("old"), "sim")
     # empty titles match each other fully, so only their locations differ
     blank = new.filter("t = ''").select(F.col("cls").alias("new"), "l").join(places, "l").join(
@@ -110,8 +115,9 @@ def signature_edges(rows: DataFrame, metric: str = "ratio") -> DataFrame:
     pairs = blocked_pairs(sized, sized, "signature", DUP_TITLE_FLOOR, one_sided=False).filter(
         (F.col("l.key") != F.col("r.key"))
         & could_reach("l.t", "r.t", "l.counts", "r.counts", F.lit(DUP_TITLE_FLOOR)))
-    titled = pairs.withColumn("sim", _combined("l", "r", metric)).select(
-        F.col("l.signature").alias("signature"), F.col("l.key").alias("new"), F.col("r.key").alias("old"), "sim")
+    titled = pairs.select("l.signature", _texts("l"), _texts("r")).withColumn(
+        "sim", _combined("l", "r", metric)).select(
+        "signature", F.col("l.key").alias("new"), F.col("r.key").alias("old"), "sim")
     blanks = members.filter("t = ''")
     blank = blanks.select("signature", F.col("cls").alias("new"), "l").join(
         blanks.select("signature", F.col("cls").alias("old"), F.col("l").alias("other")), "signature"
@@ -193,6 +199,7 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
     contested signature, by being the last accepted one."""
     cols = ["seq", "cls", "t", "l", "signature"]
     alive, kept, lost = window, None, None
+    ordered = not dup.isEmpty()
     while True:
         first = alive.groupBy("cls").agg(F.min_by(F.struct("seq", "t", "l", "signature", "contested"), "seq")
                                          .alias("f")).select("cls", "f.*")
@@ -201,17 +208,19 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
             near.join(seqs.toDF("new", "new_seq"), "new").join(seqs.toDF("old", "old_seq"), "old")
             .filter(F.col("old_seq") < F.col("new_seq")).select(F.col("new").alias("cls")).distinct()
         )
-        sig_first = alive.filter("contested").groupBy("signature").agg(F.min("seq").alias("sig_seq"))
-        ready = cut(
-            first.join(blocked, "cls", "left_anti").join(sig_first, "signature", "left")
-            .filter(~F.col("contested") | (F.col("seq") == F.col("sig_seq"))).drop("sig_seq"))
+        ready = first.join(blocked, "cls", "left_anti")
+        if ordered:
+            sig_first = alive.filter("contested").groupBy("signature").agg(F.min("seq").alias("sig_seq"))
+            ready = ready.join(sig_first, "signature", "left").filter(
+                ~F.col("contested") | (F.col("seq") == F.col("sig_seq"))).drop("sig_seq")
+        ready = cut(ready)
         if ready.isEmpty():
             empty = window.select(*cols).limit(0)
             return (kept if kept is not None else empty,
                     lost if lost is not None else window.select("seq", F.col("seq").alias("matched_seq"),
                                                                 F.lit(0.0).alias("sim")).limit(0))
         pool = [k for k in (kept_before, kept) if k is not None]
-        if pool:
+        if pool and ordered:
             earlier = pool[0] if len(pool) == 1 else pool[0].unionByName(pool[1])
             last = (
                 ready.filter("contested").select("seq", "cls", "signature")
@@ -226,16 +235,15 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
             refused = None
         won = ready.select(*cols)
         if refused is not None:
-            won = won.join(refused.select("seq"), "seq", "left_anti").select(*cols)
-            lost = refused if lost is None else cut(lost.unionByName(refused))
+            won = cut(won.join(refused.select("seq"), "seq", "left_anti").select(*cols))
+            lost = refused if lost is None else lost.unionByName(refused)
             alive = alive.join(refused.select("seq"), "seq", "left_anti")
-        won = cut(won)
         reached = near.join(won.select(F.col("cls").alias("old"), F.col("seq").alias("k_seq")), "old").groupBy(
             F.col("new").alias("cls")).agg(F.min("k_seq").alias("k_seq"))
         alive = cut(
             alive.join(won.select("cls"), "cls", "left_anti").join(reached, "cls", "left")
             .filter(F.col("k_seq").isNull() | (F.col("seq") < F.col("k_seq"))).select(*window.columns))
-        kept = won if kept is None else cut(kept.unionByName(won))
+        kept = won if kept is None else kept.unionByName(won)
 
 
 def _verdicts(prepared: DataFrame, kept: DataFrame, links: DataFrame, dup_lost: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK_TASK = 2_000
+ROWS_PER_BLOCK_TASK = 500
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -56,7 +56,9 @@ def could_reach(a: str, b: str, a_counts: str, b_counts: str, floor: Column) ->
     shared = sum((F.least(F.col(f"{a_counts}.{f}"), F.col(f"{b_counts}.{f}")) for f in fields), F.lit(0))
     total = F.col(f"{a_counts}.n") + F.col(f"{b_counts}.n")
     budget = F.floor((F.lit(1.0) - floor) * total + F.lit(1e-6)).cast("int")
-    return (shared * 2 >= floor * total - F.lit(1e-6)) & (F.levenshtein(F.col(a), F.col(b)) <= budget)
+    # with a third argument the distance stops at the budget and returns -1 beyond
+    edits = F.call_function("levenshtein", F.col(a), F.col(b), budget)
+    return (shared * 2 >= floor * total - F.lit(1e-6)) & (edits >= 0)
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, one_sided: bool,
@@ -89,8 +91,13 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, o
         *([F.col("_band") - 1] if not one_sided else []), F.col("_band"), F.col("_band") + 1)))
     r_rows = r_bands.join(reach, ["_block", "_other"]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pairs = l_rows.join(r_rows.select("_block", "_band", "_other", "_salt", "r"),
-                        ["_block", "_band", "_other", "_salt"])
+    # a fixed partition count: the work per byte is quadratic here, so merging
+    # partitions by size would undo the salting
+    keys = ["_block", "_band", "_other", "_salt"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l_rows = l_rows.select(*keys, "l").repartition(parts, *keys)
+    r_rows = r_rows.select(*keys, "r").repartition(parts, *keys)
+    pairs = l_rows.join(r_rows.hint("shuffle_hash"), keys)
     if one_sided:
         pairs = pairs.filter((F.col("_other") > F.col("_band")) | (F.col("l.key") < F.col("r.key")))
     return pairs.select("l", "r")

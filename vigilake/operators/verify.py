@@ -59,10 +59,11 @@ def class_edges(leaders: DataFrame, others: DataFrame, threshold: float, metric:
     far = _floor(0.5, 1.0, threshold)
     there = blocked_pairs(a, b, "kind", far, one_sided=False).filter(
         ~same_place & could_reach("l.t", "r.t", "l.counts", "r.counts", F.lit(far)))
-    compared = here.unionByName(there).withColumn(
-        "title_sim", similarity(F.col("l.t"), F.col("r.t"), metric)).select(
-        F.col("l.key").alias("leader"), F.col("r.key").alias("other"), "title_sim",
+    pairs = here.unionByName(there).select(
+        F.col("l.key").alias("leader"), F.col("r.key").alias("other"), F.col("l.t").alias("a"), F.col("r.t").alias("b"),
         F.when(same_place, 1.0).otherwise(0.5).alias("loc_sim"), same_kind.alias("same_type"))
+    compared = pairs.withColumn("title_sim", similarity(F.col("a"), F.col("b"), metric)).select(
+        "leader", "other", "title_sim", "loc_sim", "same_type")
     # equal titles elsewhere, or of another type, or blank on both sides
     a_t, b_t = (df.select("cls", "t", "loc", "kind") for df in (leaders, others))
     same = a_t.toDF("leader", "t", "a_loc", "a_kind").join(b_t.toDF("other", "t", "b_loc", "b_kind"), "t").filter(
@@ -91,7 +92,7 @@ def _absorbed(rows: DataFrame, edges: DataFrame, leaders: DataFrame, threshold:
 
 
 def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str = "ratio",
-                    first_window: int = 4_096, growth: int = 4) -> DataFrame:
+                    first_window: int = 2_048, growth: int = 4) -> DataFrame:
     """Group membership: ``id``, ``group_id`` (the leader's id), ``is_leader``."""
     rows = cut(grouping_rows(incidents))
     alone = rows.filter("loc = ''").select("id", F.col("id").alias("group_id"))
@@ -148,9 +149,10 @@ def _settle(window: DataFrame, threshold: float, metric: str):
             break
         gone = _absorbed(alive, edges, won, threshold).select("id").union(won.select("id")).distinct()
         alive = cut(alive.join(gone, "id", "left_anti"))
-        leaders = won if leaders is None else cut(leaders.unionByName(won))
+        leaders = won if leaders is None else leaders.unionByName(won)
     if leaders is None:
         leaders = window.limit(0)
+    leaders = cut(leaders)
     rest = window.join(leaders.select("id"), "id", "left_anti")
     joined = _absorbed(rest, edges, leaders, threshold).groupBy("id").agg(
         F.min_by("group_id", "g_ord").alias("group_id"))
