@@ -22,11 +22,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file or folder as a stream, with the stored schema."""
+    """A parquet file or folder as a stream, with the stored schema. The name is
+    given as a glob, because a plain path must be a folder here."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
 def with_event_time(df: DataFrame, col: str = "published", lateness: str = LATENESS) -> DataFrame:
