@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import dims, lexicons as lex
-from vigilake.functions.match import any_of, has_any
+from vigilake.functions.match import any_of, has_any, once
 from vigilake.operators.enrich import country_code, ui_severity
 
 TIME_FACETS_HOURS = {"24h": 24, "7d": 168, "30d": 720}
@@ -28,8 +28,10 @@ def filter_relevant(df: DataFrame, words: Sequence[str] | DataFrame = None, col:
     by a semi join on ``contains``."""
     words = lex.RELEVANCE_WORDS if words is None else words
     if isinstance(words, DataFrame):
-        return df.join(words.select("keyword"), F.lower(F.col(col)).contains(F.col("keyword")), "left_semi")
-    return df.filter(has_any(F.lower(F.col(col)), words))
+        lowered = once(df, _text=F.lower(F.col(col)))
+        return lowered.join(words.select("keyword"), F.col("_text").contains(F.col("keyword")), "left_semi").drop("_text")
+    lowered = once(df, _text=F.lower(F.col(col)))  # else every keyword test lower-cases again
+    return lowered.filter(has_any(F.col("_text"), words)).drop("_text")
 
 
 def filter_recent(df: DataFrame, as_of: str, hours: int = 72, col: str = "published") -> DataFrame:
@@ -114,11 +116,10 @@ def active_notams(df: DataFrame, as_of: str) -> DataFrame:
 
 def defense_relevant(df: DataFrame) -> DataFrame:
     """Interception-related rows with a known country (adds ``country_code``)."""
-    title = F.lower(F.coalesce("title", F.lit("")))
+    marked = once(df, _title=F.lower(F.coalesce("title", F.lit(""))), country_code=country_code(F.col("country")))
     return (
-        df.withColumn("country_code", country_code(F.col("country")))
-        .filter(F.lower("type").isin(lex.DEFENSE_TYPES) | has_any(title, lex.DEFENSE_WORDS))
-        .filter(F.col("country_code") != "unknown")
+        marked.filter(F.lower("type").isin(lex.DEFENSE_TYPES) | has_any(F.col("_title"), lex.DEFENSE_WORDS))
+        .filter(F.col("country_code") != "unknown").drop("_title")
     )
 
 

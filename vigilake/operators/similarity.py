@@ -106,6 +106,9 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, o
 def event_similarity(pairs: DataFrame, metric: str = "ratio") -> DataFrame:
     """0.6 title + 0.4 location over (new_title, new_location, old_title,
     old_location); the newer record is the first argument."""
+    if metric == "ratio":
+        # few bytes but much Python work: deal the pairs out, whatever their size
+        pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
     low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in
            ("new_title", "old_title", "new_location", "old_location")}
     return pairs.withColumn("event_similarity", similarity(low["new_title"], low["old_title"], metric) * 0.6

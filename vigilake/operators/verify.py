@@ -97,7 +97,7 @@ def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str =
     rows = cut(grouping_rows(incidents))
     alone = rows.filter("loc = ''").select("id", F.col("id").alias("group_id"))
     placed = rows.filter("loc <> ''")
-    leaders, members = None, alone
+    leaders, new_heads, seen, links, members = None, None, None, None, alone
     lower = None
     for upper in _age_bounds(placed, first_window, growth):
         window = placed
@@ -106,16 +106,27 @@ def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str =
         if upper is not None:
             window = window.filter(F.col("ord.age") <= upper)
         lower = upper
+        classes = cut(window.select("cls", "t", "loc", "kind").distinct())
         if leaders is not None:
-            heads = leaders.select("cls", "t", "loc", "kind").distinct()
-            back = cut(class_edges(heads, window.select("cls", "t", "loc", "kind").distinct(), threshold, metric))
-            taken = cut(_absorbed(window, back, leaders, threshold).groupBy("id").agg(
+            # each (leader, class) pair is compared once over the whole run: classes
+            # seen before meet only the last window's leaders, new ones meet all
+            fresh = classes.join(seen, "cls", "left_anti")
+            heads = leaders.select("cls", "t", "loc", "kind")
+            found = class_edges(heads, fresh, threshold, metric)
+            if new_heads is not None:
+                found = found.unionByName(class_edges(new_heads, seen, threshold, metric))
+            links = cut(found if links is None else links.unionByName(found))
+            taken = cut(_absorbed(window, links, leaders, threshold).groupBy("id").agg(
                 F.min_by("group_id", "g_ord").alias("group_id")))
             members = members.unionByName(taken)
             window = cut(window.join(taken.select("id"), "id", "left_anti"))
-        won, joined = _settle(window, threshold, metric)
-        members = cut(members.unionByName(joined).unionByName(won.select("id", F.col("id").alias("group_id"))))
-        leaders = won if leaders is None else cut(leaders.unionByName(won))
+        seen = classes if seen is None else cut(seen.unionByName(classes).dropDuplicates(["cls"]))
+        new_heads = None
+        if not window.isEmpty():
+            won, joined = _settle(window, threshold, metric)
+            members = members.unionByName(joined).unionByName(won.select("id", F.col("id").alias("group_id")))
+            leaders = won if leaders is None else cut(leaders.unionByName(won))
+            new_heads = won.select("cls", "t", "loc", "kind")
     return members.withColumn("is_leader", F.col("id") == F.col("group_id"))
 
 
