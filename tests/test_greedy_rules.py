@@ -12,9 +12,9 @@ from vigilake.operators.greedy import greedy_select
 
 
 def test_greedy_select_equals_sequential_rule(spark):
-    for seed in (1, 2, 3):
+    for seed in (1, 2):
         rng = random.Random(seed)
-        n = 60
+        n = 40
         order = list(range(n))
         rng.shuffle(order)
         edges = {(a, b) for a in range(n) for b in range(n) if a != b and rng.random() < 0.06}
@@ -102,21 +102,21 @@ def check_screen(spark, rows, history=(), **options):
     return got
 
 
-@pytest.mark.parametrize("seed,dates", [(1, ["2026-03-10", "2026-03-11"]), (2, ["2026-03-10"]),
+@pytest.mark.parametrize("seed,dates", [(1, ["2026-03-10", "2026-03-11"]),
                                         (3, [f"2026-03-10T12:{m:02d}:00Z" for m in range(60)])])
 def test_screening_equals_sequential_rule(spark, seed, dates):
-    check_screen(spark, random_articles(seed, 90, dates))
+    check_screen(spark, random_articles(seed, 60, dates))
 
 
 def test_screening_in_small_windows(spark):
-    check_screen(spark, random_articles(7, 80, ["2026-03-10", "2026-03-11", "2026-03-12"]), first_window=12, growth=2)
+    check_screen(spark, random_articles(7, 50, ["2026-03-10", "2026-03-11", "2026-03-12"]), first_window=15, growth=2)
 
 
 def test_screening_against_history(spark):
-    rows = random_articles(11, 70, ["2026-03-10", "2026-03-11"])
-    first = check_screen(spark, rows[:35])
-    history = [r for r in rows[:35] if first[r[0]] == "accepted"]
-    check_screen(spark, rows[35:], history)
+    rows = random_articles(11, 40, ["2026-03-10", "2026-03-11"])
+    first = check_screen(spark, rows[:20])
+    history = [r for r in rows[:20] if first[r[0]] == "accepted"]
+    check_screen(spark, rows[20:], history)
 
 
 def test_screening_reference_cases(spark):
@@ -177,12 +177,12 @@ def sequential_groups(rows, threshold):
     return group
 
 
-@pytest.mark.parametrize("seed,first_window", [(1, 2048), (2, 2048), (3, 20), (4, 10)])
+@pytest.mark.parametrize("seed,first_window", [(1, 2048), (3, 15)])
 def test_grouping_equals_sequential_rule(spark, seed, first_window):
     rng = random.Random(seed)
-    base = [" ".join(rng.choices(WORDS, k=rng.randint(3, 8))) for _ in range(14)]
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(3, 8))) for _ in range(10)]
     rows = []
-    for i in range(90):
+    for i in range(60):
         title = rng.choice(base) + rng.choice(["", " today", " again", "!"])
         published = dt.datetime(2026, 3, 10) + dt.timedelta(minutes=rng.randrange(60 * 24))
         rows.append((i, i, title, published, rng.choice(["Iran", "Israel", None]), rng.choice(["Haifa", None])))
