@@ -209,10 +209,13 @@ def confidence(df: DataFrame, as_of: str, published: str = "published") -> DataF
 
 def signature(df: DataFrame, title: str = "title", location: str = "location", date: str = "date") -> DataFrame:
     """Event type, known places of the location and the full date string, hashed."""
-    kind = first_label(F.lower(F.coalesce(F.col(title), F.lit(""))), lex.EVENT_TYPES, "incident")
-    places = place_keywords(F.lower(F.coalesce(F.col(location), F.lit(""))))
-    return once(df, event_kind=kind).withColumn("signature", F.substring(
-        F.md5(F.concat_ws(":", F.col("event_kind"), places, F.coalesce(F.col(date), F.lit(""))).cast("binary")), 1, 16))
+    lowered = once(df, _title=F.lower(F.coalesce(F.col(title), F.lit(""))),
+                   _place=F.lower(F.coalesce(F.col(location), F.lit(""))))
+    known = once(lowered, event_kind=first_label(F.col("_title"), lex.EVENT_TYPES, "incident"),
+                 _places=place_keywords(F.col("_place")))
+    places = F.col("_places")
+    return known.withColumn("signature", F.substring(
+        F.md5(F.concat_ws(":", F.col("event_kind"), places, F.coalesce(F.col(date), F.lit(""))).cast("binary")), 1, 16)).drop("_title", "_place", "_places")
 
 
 def with_ids(df: DataFrame, title: str = "title", source: str = "source") -> DataFrame:

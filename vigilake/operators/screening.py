@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.match import once
 from vigilake.operators.enrich import confidence, recap_score, signature
 from vigilake.operators.similarity import blocked_pairs, could_reach, letter_counts, similarity
 from vigilake.session import cut
@@ -45,9 +46,8 @@ def _class_key() -> Column:
 
 
 def _with_class(df: DataFrame) -> DataFrame:
-    return (df.withColumn("t", F.lower(F.coalesce("title", F.lit(""))))
-            .withColumn("l", F.lower(F.coalesce("location", F.lit(""))))
-            .withColumn("cls", _class_key()))
+    lowered = once(df, t=F.lower(F.coalesce("title", F.lit(""))), l=F.lower(F.coalesce("location", F.lit(""))))
+    return lowered.withColumn("cls", _class_key())
 
 
 def _combined(a: str, b: str, metric: str) -> Column:

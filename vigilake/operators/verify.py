@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions import lexicons as lex
-from vigilake.functions.match import first_label, lookup, steps
+from vigilake.functions.match import first_label, lookup, once, steps
 from vigilake.operators.enrich import location_key, normalize_text, source_tier
 from vigilake.operators.similarity import (blocked_pairs, could_reach, incident_similarity, letter_counts,
                                            similarity, time_similarity)
@@ -32,11 +32,13 @@ def _floor(location_part: float, type_part: float, threshold: float) -> float:
 
 
 def grouping_rows(incidents: DataFrame) -> DataFrame:
-    kind = first_label(F.lower(F.coalesce("title", F.lit(""))), lex.GROUPING_TYPES, "incident")
-    rows = incidents.select(
-        "id", "seq", "published", F.unix_micros(F.col("published").cast("timestamp")).alias("us"),
-        normalize_text(F.coalesce("title", F.lit(""))).alias("t"),
-        location_key(F.col("country"), F.col("city"), F.col("title")).alias("loc"), kind.alias("kind"))
+    rows = once(incidents.select(
+        "id", "seq", "published", F.unix_micros(F.col("published").cast("timestamp")).alias("us"), "country", "city",
+        F.coalesce("title", F.lit("")).alias("_title")), _lower=F.lower("_title"))
+    rows = once(rows, t=normalize_text(F.col("_title")),
+                loc=location_key(F.col("country"), F.col("city"), F.col("_lower")),
+                kind=first_label(F.col("_lower"), lex.GROUPING_TYPES, "incident"))
+    rows = rows.drop("_title", "_lower", "country", "city")
     newest_first = F.struct((-F.coalesce("us", F.lit(-2**62))).alias("age"), F.col("seq").alias("seq"))
     return rows.withColumn("ord", newest_first).withColumn(
         "cls", F.md5(F.concat_ws("\u0001", "t", "loc", "kind").cast("binary")))

@@ -175,6 +175,24 @@ def _(spark, d):
     return grouped(spark, d).select("id", "group_id", "is_leader")
 
 
+_GROUP_VIEWS = {
+    "incidents": sql_view(INCIDENTS),
+    "k": "SELECT *, row_number() OVER (ORDER BY published DESC, seq) AS rn, t || chr(1) || loc || chr(1) || kind AS cls FROM (" + _KEY_SQL + ") WHERE loc <> ''",
+    "cl": "SELECT cls, any_value(t) AS t, any_value(loc) AS loc, any_value(kind) AS kind FROM k GROUP BY 1",
+    "e": "SELECT * FROM (SELECT a.cls AS a_cls, b.cls AS b_cls, " + lev_sql("a.t", "b.t") + " * 0.5 + CASE WHEN a.loc = b.loc THEN CAST(1 AS DOUBLE) ELSE 0.5 END * 0.3 "
+         "+ CASE WHEN a.kind = b.kind THEN CAST(1 AS DOUBLE) ELSE 0 END * 0.1 AS base FROM cl a JOIN cl b ON a.loc = b.loc OR a.kind = b.kind OR a.t = b.t) WHERE base >= 0.6499",
+    "pairs": "SELECT b.rn AS rn, a.rn AS leader_rn FROM k a JOIN e ON e.a_cls = a.cls JOIN k b ON b.cls = e.b_cls AND b.rn > a.rn WHERE base + greatest(CAST(0 AS DOUBLE), 1.0 - abs(epoch_us(a.published) - epoch_us(b.published)) / CAST(3600000000 AS DOUBLE) / 6.0) * 0.1 >= 0.75",
+    "numbered": "SELECT k.id, k.rn, k.rn AS ord, coalesce(p.blockers, []) AS blockers FROM k LEFT JOIN (SELECT rn, list(leader_rn) AS blockers FROM pairs GROUP BY 1) p USING (rn)",
+}
+
+
+@query("incident_groups_levenshtein", "D6", _greedy_sql(
+    "SELECT id, id AS group_id, true AS is_leader FROM incidents WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT m.id, g.id, m.rn = g.rn FROM (SELECT n.id, n.rn, CASE WHEN n.rn IN (SELECT ord FROM lead) THEN n.rn ELSE (SELECT min(p.leader_rn) FROM pairs p JOIN lead ON lead.ord = p.leader_rn WHERE p.rn = n.rn) END AS g FROM numbered n) m JOIN k g ON g.rn = m.g",
+    **_GROUP_VIEWS).replace(") SELECT id, id AS group_id", "), lead AS (" + _KEPT + ") SELECT id, id AS group_id", 1))
+def _(spark, d):
+    return verify.group_incidents(incidents(spark, d), metric="levenshtein")
+
+
 @query("verification_scores", "A4,Q14", with_views(
     "SELECT group_id, members, num_sources, CAST(w + CASE WHEN num_sources >= 3 THEN 35 WHEN num_sources = 2 THEN 25 ELSE 10 END + least(15, 10 * gov) AS INT) AS score, "
     "CASE WHEN w + CASE WHEN num_sources >= 3 THEN 35 WHEN num_sources = 2 THEN 25 ELSE 10 END + least(15, 10 * gov) >= 90 THEN 'VERIFIED' WHEN w + CASE WHEN num_sources >= 3 THEN 35 WHEN num_sources = 2 THEN 25 ELSE 10 END + least(15, 10 * gov) >= 70 THEN 'LIKELY' "
