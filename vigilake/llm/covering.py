@@ -88,10 +88,11 @@ def _stars(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
             break
         left = np.flatnonzero(same)
         left = left[np.bitwise_count(fp[left] ^ fp[left + step]) <= radius]
-        if len(left):
-            low = np.minimum(label[left], label[left + step])
-            np.minimum.at(label, label[left], low)
-            np.minimum.at(label, label[left + step], low)
+        while True:  # hang the larger root under the smaller until both ends agree
+            one, two = label[left], label[left + step]
+            if (one == two).all():
+                break
+            np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
             while (deeper := label[label] != label).any():
                 label[deeper] = label[label[deeper]]
         step += 1
