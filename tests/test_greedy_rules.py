@@ -119,6 +119,21 @@ def test_screening_against_history(spark):
     check_screen(spark, rows[20:], history)
 
 
+def test_history_precedes_whatever_its_number(spark):
+    """A late article with a smaller number still meets what was accepted before it."""
+    history = [(100, "Missile strike near port", "Gaza", "2026-03-10", "src", "x")]
+    rows = [(5, *history[0][1:]), (6, "Drone over the city", "Beirut", "2026-03-10", "src", "x")]
+    got = check_screen(spark, rows, history)
+    assert got == {5: "duplicate", 6: "accepted"}
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("published", F.lit(None).cast("timestamp_ntz"))
+    old = spark.createDataFrame(history, SCHEMA).withColumn("published", F.lit(None).cast("timestamp_ntz"))
+    matched = {r.seq: r.matched_seq for r in screening.screen_articles(df, old).collect()}
+    assert matched == {5: 100, 6: None}
+    late = random_articles(13, 40, ["2026-03-10", "2026-03-11"])
+    first = check_screen(spark, [(r[0] + 1000, *r[1:]) for r in late[:20]])
+    check_screen(spark, late[20:], [(r[0] + 1000, *r[1:]) for r in late[:20] if first[r[0] + 1000] == "accepted"])
+
+
 def test_screening_reference_cases(spark):
     """Hand-computed similarities: .9558 duplicate, .8313 and .68 accepted."""
     rows = [
@@ -190,3 +205,15 @@ def test_grouping_equals_sequential_rule(spark, seed, first_window):
     facts = [r.asDict() for r in verify.grouping_rows(df).select("id", "seq", "published", "t", "loc", "kind").collect()]
     got = {r.id: r.group_id for r in verify.group_incidents(df, first_window=first_window, growth=2).collect()}
     assert got == sequential_groups(facts, 0.75)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.4, 0.55, 0.65, 0.7, 0.9])
+def test_grouping_at_any_threshold(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(2, 6))) for _ in range(12)] + [""]
+    rows = [(i, i, rng.choice(base) + rng.choice(["", "", "s"]), dt.datetime(2026, 3, 10) + dt.timedelta(minutes=rng.randrange(1440)),
+             rng.choice(["Iran", "Israel", None]), rng.choice(["Haifa", None, None])) for i in range(36)]
+    df = spark.createDataFrame(rows, "id bigint, seq bigint, title string, published timestamp_ntz, country string, city string")
+    facts = [r.asDict() for r in verify.grouping_rows(df).select("id", "seq", "published", "t", "loc", "kind").collect()]
+    got = {r.id: r.group_id for r in verify.group_incidents(df, threshold).collect()}
+    assert got == sequential_groups(facts, threshold)

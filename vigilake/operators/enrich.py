@@ -219,8 +219,8 @@ def signature(df: DataFrame, title: str = "title", location: str = "location", d
 
 
 def with_ids(df: DataFrame, title: str = "title", source: str = "source") -> DataFrame:
-    """Stable incident id from title and source."""
-    return df.withColumn("incident_id", F.pmod(F.xxhash64(F.col(title), F.col(source)), F.lit(1_000_000_000)))
+    """Stable incident id from title and source, all 64 bits of the hash."""
+    return df.withColumn("incident_id", F.xxhash64(F.col(title), F.col(source)))
 
 
 def event_ids(df: DataFrame, as_of: str, seq: str = "seq", prefix: str = "EV") -> DataFrame:

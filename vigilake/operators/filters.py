@@ -76,7 +76,7 @@ def facet_filter(df: DataFrame, as_of: str, country: Sequence[str] | None = None
         tests.append(F.col("credibility") >= min_credibility)
     if search:
         tests.append(any_of(
-            F.coalesce(F.lower(F.col(c)), F.lit("")).contains(search) for c in ("title", "source", "country")
+            F.coalesce(F.lower(F.col(c)), F.lit("")).contains(search.lower()) for c in ("title", "source", "country")
         ))
     for test in tests:
         df = df.filter(test)

@@ -141,20 +141,26 @@ def _window_edges(nodes: DataFrame, first: int, growth: int) -> list[int | None]
     return [int(b) for b in sorted(set(bounds))] + [None]
 
 
+#: Taken off the arrival numbers of history, so that it precedes all new articles.
+BEFORE_ALL = 2**62
+
+
 def screen_articles(articles: DataFrame, history: DataFrame | None = None, metric: str = "ratio",
                     first_window: int = 50_000, growth: int = 4) -> DataFrame:
     """Verdict for every article: ``status`` (accepted, recap, duplicate,
     near_duplicate), ``matched_seq`` and ``similarity``.
 
     ``articles``: seq (unique arrival number), title, location, date, source,
-    content. ``history``: already accepted articles with smaller ``seq``.
+    content. ``history``: already accepted articles, each earlier than every new
+    one whatever its ``seq``; ``seq`` is not negative.
     """
     prepared = cut(signature(recap_score(_with_class(articles))))
     candidates = prepared.filter(~F.col("recap_dropped"))
     rows = candidates.select("seq", "cls", "t", "l", "signature")
     old = None
     if history is not None:
-        old = signature(_with_class(history)).select("seq", "cls", "t", "l", "signature")
+        old = signature(_with_class(history)).select(
+            (F.col("seq") - BEFORE_ALL).alias("seq"), "cls", "t", "l", "signature")
 
     dup = cut(signature_edges(rows if old is None else rows.unionByName(old), metric))
     contested = cut(dup.select("signature").distinct().withColumn("contested", F.lit(True)))
@@ -269,6 +275,8 @@ def _verdicts(prepared: DataFrame, kept: DataFrame, links: DataFrame, dup_lost:
     matched = F.col("status").isin("duplicate", "near_duplicate")
     return (
         out.withColumn("matched_seq", F.when(matched, F.coalesce("d_seq", "m.k_seq")))
+        .withColumn("matched_seq", F.when(F.col("matched_seq") < 0, F.col("matched_seq") + BEFORE_ALL)
+                    .otherwise(F.col("matched_seq")))
         .withColumn("similarity", F.when(matched, F.coalesce("d_sim", "m.sim")))
         .drop("m", "d_seq", "d_sim", "t", "l", "cls")
     )

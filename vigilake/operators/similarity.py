@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK_TASK = 500
-UNSALTED_ROWS = 10_000
-SMALL_SALTS = 8
+ROWS_PER_BLOCK_TASK = 250
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -68,41 +66,33 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, o
     """Pairs of rows in the same block whose lengths are compatible with a
     similarity of ``floor``, as columns ``l`` and ``r`` (structs of all columns).
 
-    Both inputs hold ``block``, ``key`` and ``n`` (text length > 0). Lengths fall
+    Both inputs hold ``block``, ``key`` and ``n`` (text length, above 0 if ``floor`` is). Lengths fall
     into geometric bands, so a row meets its own and the next band only. A block
     with many rows is dealt out over salts: each left row goes to one salt, each
-    right row to all salts of its block, so no task holds a whole hot block; with
-    too few left rows for a hot block the salts are fixed, or none.
+    right row to all salts of its block, so no task holds a whole hot block. At a
+    floor of zero or less no length is incompatible and all rows share a band.
     ``one_sided`` drops the mirror pair and the pair of a row with itself; use it
     when both sides are the same table.
     """
-    step = -math.log(floor / (2.0 - floor)) * (1 + 1e-6)  # slack for rounding at the edge
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    if floor > 0:
+        step = max(1e-6, -math.log(floor / (2.0 - floor)) * (1 + 1e-6))  # slack for rounding at the edge
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    else:
+        band = F.lit(0)
     reach = F.explode(F.array(*([band - 1] if not one_sided else []), band, band + 1))
     l_rows = left.select(F.col(block).alias("_block"), band.alias("_band"), reach.alias("_other"),
                          F.struct(*left.columns).alias("l"))
     r_rows = right.select(F.col(block).alias("_block"), band.alias("_other"), F.struct(*right.columns).alias("r"))
     keys = ["_block", "_band", "_other"]
-    if left.count() <= UNSALTED_ROWS:
-        # no block can be large: each right row goes to the bands that reach it
-        back = F.explode(F.array(F.col("_other"), F.col("_other") - 1, *(
-            [F.col("_other") + 1] if not one_sided else [])))
-        r_rows = r_rows.withColumn("_band", back)
-        if right.count() <= UNSALTED_ROWS:
-            # little data in few blocks: deal the comparisons out all the same
-            keys.append("_salt")
-            l_rows = l_rows.withColumn("_salt", F.pmod(F.xxhash64("l.key"), F.lit(SMALL_SALTS)).cast("int"))
-            r_rows = r_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SMALL_SALTS - 1))))
-    else:
-        keys.append("_salt")
-        sized = left.groupBy(F.col(block).alias("_block"), band.alias("_band")).agg(F.count("*").alias("_rows"))
-        parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(rows_per_task))).cast("int")
-        sized = sized.select("_block", "_band", parts.alias("_parts"))
-        near = F.explode(F.array(*([F.col("_band") - 1] if not one_sided else []), F.col("_band"), F.col("_band") + 1))
-        l_rows = l_rows.join(sized, ["_block", "_band"]).withColumn(
-            "_salt", F.pmod(F.xxhash64("l.key"), F.col("_parts")).cast("int"))
-        r_rows = r_rows.join(sized.withColumn("_other", near), ["_block", "_other"]).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keys.append("_salt")
+    sized = left.groupBy(F.col(block).alias("_block"), band.alias("_band")).agg(F.count("*").alias("_rows"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(rows_per_task))).cast("int")
+    sized = sized.select("_block", "_band", parts.alias("_parts"))
+    near = F.explode(F.array(*([F.col("_band") - 1] if not one_sided else []), F.col("_band"), F.col("_band") + 1))
+    l_rows = l_rows.join(sized, ["_block", "_band"]).withColumn(
+        "_salt", F.pmod(F.xxhash64("l.key"), F.col("_parts")).cast("int"))
+    r_rows = r_rows.join(sized.withColumn("_other", near), ["_block", "_other"]).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     # a fixed partition count: the work per byte is quadratic here, so merging
     # partitions by size would undo the salting
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,13 +6,15 @@ absorbs every later incident with similarity >= threshold. Similarity is
 
 Everything but the time part depends on (normalised title, location key, type),
 so title ratios are computed between *classes* of those three and the time part
-is added per row. An empty location key can never reach the threshold, so such
-rows are their own groups at once. Rows are settled in growing windows, newest
+is added per row. Rows with an empty location key reach 0.7 at most; above such a
+threshold they are their own groups at once. Rows are settled in growing windows, newest
 first: each window first meets the leaders of earlier windows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,39 +48,53 @@ def grouping_rows(incidents: DataFrame) -> DataFrame:
 
 def class_edges(leaders: DataFrame, others: DataFrame, threshold: float, metric: str) -> DataFrame:
     """(leader, other, title_sim, loc_sim, same_type) for class pairs that reach
-    the threshold at least when published together. Inputs: cls, t, loc, kind."""
+    the threshold at least when published together. Inputs: cls, t, loc, kind.
+
+    Each way in which two places and types can agree has its own least title
+    similarity, which follows from the threshold: above 1 no pair of the kind can
+    reach it, at 1 equal titles can, at 0 or below any titles.
+    """
     def shaped(df: DataFrame) -> DataFrame:
-        return df.filter(F.length("t") > 0).select(
-            F.col("cls").alias("key"), "t", "loc", "kind", F.length("t").alias("n"),
-            letter_counts(F.col("t")).alias("counts"))
+        return df.select(F.col("cls").alias("key"), "t", "loc", "kind", F.lit("").alias("anywhere"),
+                         F.length("t").alias("n"), letter_counts(F.col("t")).alias("counts"))
 
     a, b = shaped(leaders), shaped(others)
     same_kind = F.col("l.kind") == F.col("r.kind")
-    same_place = F.col("l.loc") == F.col("r.loc")
-    near_floor = F.when(same_kind, _floor(1.0, 1.0, threshold)).otherwise(_floor(1.0, 0.0, threshold))
-    here = blocked_pairs(a, b, "loc", _floor(1.0, 1.0, threshold), one_sided=False).filter(
-        (F.col("l.key") != F.col("r.key")) & could_reach("l.t", "r.t", "l.counts", "r.counts", near_floor))
-    far = _floor(0.5, 1.0, threshold)
-    there = blocked_pairs(a, b, "kind", far, one_sided=False).filter(
-        ~same_place & could_reach("l.t", "r.t", "l.counts", "r.counts", F.lit(far)))
-    pairs = here.unionByName(there).select(
+    known = (F.col("l.loc") != "") & (F.col("r.loc") != "")
+    same_place = known & (F.col("l.loc") == F.col("r.loc"))
+    both_blank = (F.col("l.t") == "") & (F.col("r.t") == "")
+    one, other = (_floor(1.0, kind, threshold) for kind in (1.0, 0.0))
+    cases = [("loc", same_place, one, F.when(same_kind, one).otherwise(other))]
+    for place, where in ((0.5, known & ~same_place), (0.0, ~known)):
+        for kind, block, what in ((1.0, "kind", same_kind), (0.0, "anywhere", ~same_kind)):
+            floor = _floor(place, kind, threshold)
+            cases.append((block, where & what, floor, F.lit(floor)))
+
+    def equal_titles(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.select("t", F.struct(*x.columns).alias("l")).join(y.select("t", F.struct(*y.columns).alias("r")), "t")
+
+    far = F.col("l.key") != F.col("r.key")
+    wanted = [equal_titles(a.filter("n = 0"), b.filter("n = 0")).filter(far).select("l", "r")]
+    for block, case, floor, exact in cases:
+        x, y = (df if floor <= 0 else df.filter("n > 0") for df in (a, b))
+        if floor > 1 + 1e-9:
+            continue
+        if floor > 1 - 1e-9:
+            pairs = equal_titles(x, y)
+        else:
+            pairs = blocked_pairs(x, y, block, floor, one_sided=False).filter(
+                could_reach("l.t", "r.t", "l.counts", "r.counts", exact))
+        wanted.append(pairs.filter(far & case & ~both_blank).select("l", "r"))
+    selves = leaders.select("cls", "loc").join(others.select("cls"), "cls").distinct().select(
+        F.col("cls").alias("leader"), F.col("cls").alias("other"), F.lit(1.0).alias("title_sim"),
+        F.when(F.col("loc") != "", 1.0).otherwise(0.0).alias("loc_sim"), F.lit(True).alias("same_type"))
+    together = incident_similarity(F.col("title_sim"), F.col("loc_sim"), F.col("same_type"), F.lit(1.0))
+    pairs = reduce(DataFrame.unionByName, wanted).select(
         F.col("l.key").alias("leader"), F.col("r.key").alias("other"), F.col("l.t").alias("a"), F.col("r.t").alias("b"),
-        F.when(same_place, 1.0).otherwise(0.5).alias("loc_sim"), same_kind.alias("same_type"))
+        F.when(same_place, 1.0).when(known, 0.5).otherwise(0.0).alias("loc_sim"), same_kind.alias("same_type"))
     compared = pairs.withColumn("title_sim", similarity(F.col("a"), F.col("b"), metric)).select(
         "leader", "other", "title_sim", "loc_sim", "same_type")
-    # equal titles elsewhere, or of another type, or blank on both sides
-    a_t, b_t = (df.select("cls", "t", "loc", "kind") for df in (leaders, others))
-    same = a_t.toDF("leader", "t", "a_loc", "a_kind").join(b_t.toDF("other", "t", "b_loc", "b_kind"), "t").filter(
-        (F.col("leader") != F.col("other")) & (
-            (F.col("t") == "") | ((F.col("a_loc") != F.col("b_loc")) & (F.col("a_kind") != F.col("b_kind"))))
-    ).select("leader", "other", F.lit(1.0).alias("title_sim"),
-             F.when(F.col("a_loc") == F.col("b_loc"), 1.0).otherwise(0.5).alias("loc_sim"),
-             (F.col("a_kind") == F.col("b_kind")).alias("same_type"))
-    selves = a_t.select(F.col("cls").alias("leader")).join(b_t.select(F.col("cls").alias("other")),
-                                                          F.col("leader") == F.col("other")).distinct().select(
-        "leader", "other", F.lit(1.0).alias("title_sim"), F.lit(1.0).alias("loc_sim"), F.lit(True).alias("same_type"))
-    together = incident_similarity(F.col("title_sim"), F.col("loc_sim"), F.col("same_type"), F.lit(1.0))
-    return compared.unionByName(same).filter(together >= threshold).unionByName(selves)
+    return compared.unionByName(selves).filter(together >= threshold)
 
 
 def _absorbed(rows: DataFrame, edges: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
@@ -97,8 +113,10 @@ def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str =
                     first_window: int = 2_048, growth: int = 4) -> DataFrame:
     """Group membership: ``id``, ``group_id`` (the leader's id), ``is_leader``."""
     rows = cut(grouping_rows(incidents))
-    alone = rows.filter("loc = ''").select("id", F.col("id").alias("group_id"))
-    placed = rows.filter("loc <> ''")
+    # without a place the best sum of the parts is 0.7: above that such rows stay alone
+    joins = _floor(0.0, 1.0, threshold) <= 1 + 1e-9
+    alone = rows.filter("false" if joins else "loc = ''").select("id", F.col("id").alias("group_id"))
+    placed = rows if joins else rows.filter("loc <> ''")
     leaders, new_heads, seen, links, members = None, None, None, None, alone
     lower = None
     for upper in _age_bounds(placed, first_window, growth):
