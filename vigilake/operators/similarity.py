@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK_TASK = 250
+ROWS_PER_BLOCK_TASK = 500
+LEAST_SALTS = 8
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -69,7 +70,8 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, o
     Both inputs hold ``block``, ``key`` and ``n`` (text length, above 0 if ``floor`` is). Lengths fall
     into geometric bands, so a row meets its own and the next band only. A block
     with many rows is dealt out over salts: each left row goes to one salt, each
-    right row to all salts of its block, so no task holds a whole hot block. At a
+    right row to all salts of its block, so no task holds a whole hot block; few
+    small blocks are dealt out over eight salts all the same. At a
     floor of zero or less no length is incompatible and all rows share a band.
     ``one_sided`` drops the mirror pair and the pair of a row with itself; use it
     when both sides are the same table.
@@ -86,7 +88,7 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, o
     keys = ["_block", "_band", "_other"]
     keys.append("_salt")
     sized = left.groupBy(F.col(block).alias("_block"), band.alias("_band")).agg(F.count("*").alias("_rows"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(rows_per_task))).cast("int")
+    parts = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.col("_rows") / F.lit(rows_per_task))).cast("int")
     sized = sized.select("_block", "_band", parts.alias("_parts"))
     near = F.explode(F.array(*([F.col("_band") - 1] if not one_sided else []), F.col("_band"), F.col("_band") + 1))
     l_rows = l_rows.join(sized, ["_block", "_band"]).withColumn(

@@ -110,8 +110,12 @@ def _absorbed(rows: DataFrame, edges: DataFrame, leaders: DataFrame, threshold:
 
 
 def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str = "ratio",
-                    first_window: int = 2_048, growth: int = 4) -> DataFrame:
-    """Group membership: ``id``, ``group_id`` (the leader's id), ``is_leader``."""
+                    first_window: int | None = 2_048, growth: int = 4) -> DataFrame:
+    """Group membership: ``id``, ``group_id`` (the leader's id), ``is_leader``.
+
+    Rows are settled in growing windows, so most classes meet leaders only; with
+    ``first_window=None`` all class pairs are compared at once.
+    """
     rows = cut(grouping_rows(incidents))
     # without a place the best sum of the parts is 0.7: above that such rows stay alone
     joins = _floor(0.0, 1.0, threshold) <= 1 + 1e-9
@@ -150,7 +154,9 @@ def group_incidents(incidents: DataFrame, threshold: float = 0.75, metric: str =
     return members.withColumn("is_leader", F.col("id") == F.col("group_id"))
 
 
-def _age_bounds(rows: DataFrame, first: int, growth: int) -> list[int | None]:
+def _age_bounds(rows: DataFrame, first: int | None, growth: int) -> list[int | None]:
+    if first is None:
+        return [None]
     total = rows.count()
     shares, size, upto = [], first, first
     while upto < total:
