@@ -13,7 +13,7 @@ from vigilake.llm.common import components, ship
 from vigilake.session import cut
 
 THRESHOLD = 0.95
-TABLES, BLOCKS, PROBES, SCALE = 8, 2, 20, 1.7
+TABLES, BLOCKS, PROBES, SCALE = 6, 3, 16, 2.2
 #: Neighbouring cells considered in one block before blocks are combined.
 NEAREST = 9
 
