@@ -225,6 +225,14 @@ def build_groups(members: DataFrame) -> DataFrame:
     return scored.join(leader, "group_id").join(times, "group_id")
 
 
+def group_members(members: DataFrame) -> DataFrame:
+    """Members of every group with the side they speak for, one row each: the
+    variants of a record and its government and news lists, without packing a
+    group into one array."""
+    side = F.when(F.coalesce("is_government", F.lit(False)), "government").otherwise("news")
+    return members.select("group_id", "id", side.alias("side"), "title", "source")
+
+
 def attach_verification(incidents: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """Incidents with their group's badge, score and source count; an incident
     outside every group keeps nulls."""

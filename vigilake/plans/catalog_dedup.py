@@ -151,6 +151,64 @@ def _(spark, d):
     return later.select("seq", "status", "matched_seq")
 
 
+# which articles a class or an earlier accepted one lets through, in any order ``pos`` of arrival
+_ORDERED = ("SELECT seq, published, pos, lower(title) AS t, lower(concat_ws(', ', city, country)) AS l, "
+            + recap_sql("lower(title || chr(32) || description)") + " > 3.0 AS recap FROM (SELECT *, {pos} AS pos FROM incidents)")
+_ORDERED_CLASSES = "SELECT t || chr(1) || l AS cls, t, l, min(pos) AS seq FROM ranked WHERE NOT recap GROUP BY 1, 2, 3"
+_ORDERED_VERDICTS = (
+    "SELECT r.seq, CASE WHEN r.recap THEN 'recap' WHEN m.first = r.pos THEN 'accepted' ELSE 'near_duplicate' END AS status, "
+    "CASE WHEN NOT r.recap AND m.first <> r.pos THEN a.seq END AS matched_seq FROM ranked r LEFT JOIN (SELECT nb.cls, min(kp.ord) AS first FROM "
+    "(SELECT cls, ord AS own, list_append(blockers, ord) AS reach FROM numbered) nb, lateral (SELECT unnest(nb.reach) AS ord) x "
+    "JOIN (" + "{kept}" + ") kp ON kp.ord = x.ord GROUP BY 1) m ON NOT r.recap AND m.cls = r.t || chr(1) || r.l LEFT JOIN ranked a ON a.pos = m.first")
+
+
+def ordered_sql(pos: str, where: str = "true") -> str:
+    """Check SQL of one screening run whose arrival order is ``pos``; dates never repeat."""
+    return _greedy_sql(f"SELECT * FROM ({_ORDERED_VERDICTS.format(kept=_KEPT)}) WHERE {where}", incidents=sql_view(INCIDENTS),
+                       ranked=_ORDERED.format(pos=pos), c=_ORDERED_CLASSES, n=_NEAR_SQL, numbered=_NUMBERED)
+
+
+_MIDDLE = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
+@query("screened_with_history_levenshtein", "D7", ordered_sql(
+    f"row_number() OVER (ORDER BY published >= {_MIDDLE}, seq)", f"seq IN (SELECT seq FROM incidents WHERE published >= {_MIDDLE})"))
+def _(spark, d):
+    rows = articles(spark, d)
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    first = screening.screen_articles(rows.filter(F.col("published") < middle), metric="levenshtein")
+    accepted = first.filter("status = 'accepted'").select("seq", "title", "location", "date", "source", "content", "published")
+    later = screening.screen_articles(rows.filter(F.col("published") >= middle), screening.cut(accepted), metric="levenshtein")
+    return later.select("seq", "status", "matched_seq")
+
+
+# one step per article: refused if too like the last accepted article of its signature, or near any accepted one
+_DAY_ROWS = ("SELECT seq, t, l, t || chr(1) || l AS cls, signature AS sig, row_number() OVER (ORDER BY seq) AS rn FROM "
+             f"(SELECT i.seq, lower(title) AS t, lower(concat_ws(', ', city, country)) AS l, g.signature FROM incidents i JOIN ({SIGNATURE_SQL}) g ON g.id = i.id "
+             f"WHERE NOT ({recap_sql('lower(title || chr(32) || description)')} > 3.0))")
+_DAY_CLASSES = "SELECT cls, any_value(t) AS t, any_value(l) AS l, min(seq) AS ord, row_number() OVER (ORDER BY min(seq)) AS no FROM day GROUP BY 1"
+_DAY_SIM = f"{lev_sql('a.t', 'b.t')} * 0.6 + {lev_sql('a.l', 'b.l')} * 0.4"
+_DAY_NEAR = f"SELECT a.cls, list(b.no) AS nos FROM dc a JOIN dc b ON {_DAY_SIM} > 0.92 GROUP BY 1"
+_DAY_SAME = (f"SELECT a.rn, list(b.rn) AS same, list(b.rn) FILTER ({_DAY_SIM} > 0.8) AS alike FROM day a JOIN day b ON a.sig = b.sig AND b.rn < a.rn GROUP BY 1")
+_DAY_STEPS = ("SELECT day.rn, dc.no, near.nos, coalesce(s.same, []) AS same, coalesce(s.alike, []) AS alike FROM day JOIN dc USING (cls) "
+              "JOIN near USING (cls) LEFT JOIN ss s ON s.rn = day.rn")
+
+
+@query("screened_day_articles_levenshtein", "D2,W5", (
+    "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in {
+        "incidents": sql_view(INCIDENTS), "day": _DAY_ROWS, "dc": _DAY_CLASSES, "near": _DAY_NEAR, "ss": _DAY_SAME, "steps": _DAY_STEPS}.items())
+    + ", walk(i, nos, rns) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT i + 1, "
+      "CASE WHEN refused THEN nos ELSE list_append(nos, no) END, CASE WHEN refused THEN rns ELSE list_append(rns, rn) END FROM "
+      "(SELECT w.i, w.nos, w.rns, s.no, s.rn, list_has_any(w.nos, s.nos) OR coalesce(list_contains(s.alike, list_max(list_intersect(w.rns, s.same))), false) AS refused "
+      "FROM walk w JOIN steps s ON s.rn = w.i + 1)), taken AS (SELECT unnest(rns) AS rn FROM (SELECT rns FROM walk ORDER BY i DESC LIMIT 1)) "
+      "SELECT i.seq, CASE WHEN day.rn IS NULL THEN 'recap' WHEN taken.rn IS NULL THEN 'rejected' ELSE 'accepted' END AS status FROM incidents i "
+      "LEFT JOIN day ON day.seq = i.seq LEFT JOIN taken ON taken.rn = day.rn"))
+def _(spark, d):
+    found = screening.screen_articles(day_articles(spark, d), metric="levenshtein")
+    status = F.when(F.col("status").isin("accepted", "recap"), F.col("status")).otherwise("rejected")
+    return found.select("seq", status.alias("status"))
+
+
 @query("screening_statistics", "A3,Q5", _greedy_sql(
     "SELECT a.accepted, a.unique_signatures, a.event_kinds, a.recap_flagged, t.processed - a.accepted AS rejected, t.recap_dropped, t.processed FROM "
     f"(SELECT count(*) AS accepted, count(DISTINCT sig) AS unique_signatures, count(DISTINCT kind) AS event_kinds, count(*) FILTER (s >= 2.5) AS recap_flagged FROM (SELECT *, kind || ':' || CASE WHEN len(f) = 0 THEN 'unknown' ELSE array_to_string(f, ',') END || ':' || published AS sig FROM "
@@ -186,9 +244,28 @@ _GROUP_VIEWS = {
 }
 
 
-@query("incident_groups_levenshtein", "D6", _greedy_sql(
-    "SELECT id, id AS group_id, true AS is_leader FROM incidents WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT m.id, g.id, m.rn = g.rn FROM (SELECT n.id, n.rn, CASE WHEN n.rn IN (SELECT ord FROM lead) THEN n.rn ELSE (SELECT min(p.leader_rn) FROM pairs p JOIN lead ON lead.ord = p.leader_rn WHERE p.rn = n.rn) END AS g FROM numbered n) m JOIN k g ON g.rn = m.g",
-    **_GROUP_VIEWS).replace(") SELECT id, id AS group_id", "), lead AS (" + _KEPT + ") SELECT id, id AS group_id", 1))
+_MEMBERS = (
+    "SELECT id, id AS group_id, true AS is_leader FROM incidents WHERE id NOT IN (SELECT id FROM k) UNION ALL "
+    "SELECT m.id, g.id, m.rn = g.rn FROM (SELECT n.id, n.rn, CASE WHEN n.rn IN (SELECT ord FROM lead) THEN n.rn ELSE "
+    "(SELECT min(p.leader_rn) FROM pairs p JOIN lead ON lead.ord = p.leader_rn WHERE p.rn = n.rn) END AS g "
+    "FROM numbered n) m JOIN k g ON g.rn = m.g")
+_SCORED = (
+    "SELECT *, source_score + CASE WHEN num_sources >= 3 THEN 35 WHEN num_sources = 2 THEN 25 ELSE 10 END + "
+    "least(15, 10 * gov_members) AS score FROM (SELECT group_id, count(*) AS members, count(DISTINCT source) AS num_sources, "
+    f"max(CASE {TIER_SQL} WHEN 'government' THEN 50 WHEN 'major_news' THEN 40 WHEN 'regional_news' THEN 30 ELSE 10 END) AS source_score, "
+    "count(*) FILTER (is_government) AS gov_members FROM gm GROUP BY 1)")
+_BADGED = ("SELECT *, CASE WHEN score >= 90 THEN 'VERIFIED' WHEN score >= 70 THEN 'LIKELY' WHEN score >= 50 THEN 'PARTIAL' "
+           "ELSE 'UNCONFIRMED' END AS badge FROM scored")
+
+
+def groups_sql(body: str, **more: str) -> str:
+    """Check SQL over ``mem`` (membership), ``gm`` (members with their rows) and ``groups`` (scored)."""
+    views = {"lead": _KEPT, "mem": _MEMBERS, "gm": "SELECT mem.group_id, mem.is_leader, i.* FROM mem JOIN incidents i USING (id)",
+             "scored": _SCORED, "groups": _BADGED, **more}
+    return _greedy_sql(", " + ", ".join(f"{n} AS ({t})" for n, t in views.items()) + " " + body, **_GROUP_VIEWS)
+
+
+@query("incident_groups_levenshtein", "D6", groups_sql("SELECT id, group_id, is_leader FROM mem"))
 def _(spark, d):
     return verify.group_incidents(incidents(spark, d), metric="levenshtein")
 
@@ -220,6 +297,37 @@ def _(spark, d):
     return out.select("id", "v_badge", "v_score", "v_sources", "v_status")
 
 
+@query("group_records_levenshtein", "A5", groups_sql(
+    "SELECT g.group_id, g.members, g.num_sources, g.source_score, g.gov_members, g.members - g.gov_members AS news_members, CAST(g.score AS INT) AS score, g.badge, "
+    "l.title AS primary_title, k2.loc AS location, k2.kind, t.earliest, t.latest FROM groups g JOIN gm l ON l.id = g.group_id JOIN every k2 ON k2.id = g.group_id "
+    "JOIN (SELECT group_id, CAST(min(published) AS VARCHAR) AS earliest, CAST(max(published) AS VARCHAR) AS latest FROM (SELECT group_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM gm) GROUP BY 1) t ON t.group_id = g.group_id",
+    every=_KEY_SQL))
+def _(spark, d):
+    return verify.build_groups(grouped(spark, d, "levenshtein")).select(
+        "group_id", "members", "num_sources", "source_score", "gov_members", "news_members", "score", "badge", "primary_title",
+        "location", "kind", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("earliest", "latest")])
+
+
+@query("group_members_by_side", "A5", groups_sql(
+    "SELECT group_id, id, CASE WHEN is_government THEN 'government' ELSE 'news' END AS side, title, source FROM gm"))
+def _(spark, d):
+    return verify.group_members(grouped(spark, d, "levenshtein"))
+
+
+@query("group_badges_levenshtein", "A6,K2", groups_sql(
+    "SELECT badge, count(*) AS groups FROM groups GROUP BY 1"))
+def _(spark, d):
+    return verify.verification_score(grouped(spark, d, "levenshtein")).groupBy("badge").agg(F.count("*").alias("groups"))
+
+
+@query("verified_incidents_levenshtein", "J2,K3", groups_sql(
+    "SELECT mem.id, g.badge AS v_badge, CAST(g.score AS INT) AS v_score, g.num_sources AS v_sources, g.badge AS v_status FROM mem JOIN groups g USING (group_id)"))
+def _(spark, d):
+    members = screening.cut(grouped(spark, d, "levenshtein"))
+    out = verify.attach_verification(incidents(spark, d), members, verify.build_groups(members))
+    return out.select("id", "v_badge", "v_score", "v_sources", "v_status")
+
+
 @query("verification_join", "J2,K3", with_views(
     "SELECT i.id, g.badge AS v_badge FROM incidents i LEFT JOIN (SELECT title, CASE WHEN count(DISTINCT source) >= 3 THEN 'LIKELY' ELSE 'PARTIAL' END AS badge FROM incidents WHERE country IS NOT NULL GROUP BY 1) g ON g.title = i.title AND i.country IS NOT NULL"))
 def _(spark, d):

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from vigilake.functions import dims, lexicons as lex
 from vigilake.operators import discourse, enrich, markets, moderation, stats, temporal, verify
 from vigilake.operators.filters import active_notams
-from vigilake.plans.adapter import (AS_OF, INCIDENTS, NOTAMS, PRICES, REPORTS, THERMAL, incidents, table, view, with_views)
-from vigilake.plans.catalog_dedup import articles, grouped
+from vigilake.plans.adapter import (AS_OF, INCIDENTS, NOTAMS, PRICES, REPORTS, THERMAL, incidents, sql_view, table, view, with_views)
+from vigilake.plans.catalog_dedup import articles, grouped, groups_sql, ordered_sql
 from vigilake.plans.catalog_enrich import CODE_SQL, SEVERITY_SQL, THREAT_SQL, _city, _land, _posts, casualties_sql
-from vigilake.plans.catalog_stats import CLOSE_SQL, SESSION_SQL, _FIRST_REPORTS, _judged, VERDICT_SQL, stats_rows
-from vigilake.plans.registry import any_sql, label_sql, list_sql, map_sql, q, query, values_sql
+from vigilake.plans.catalog_stats import CLOSE_SQL, SESSION_SQL, _FIRST_REPORTS, _FP, _REASONS, _judged, VERDICT_SQL, stats_rows
+from vigilake.plans.registry import CHECKS, any_sql, label_sql, list_sql, map_sql, q, query, values_sql
 from vigilake.session import cut, fresh_path
 from vigilake.sources import readers, writers
 from vigilake.streaming import streams
@@ -153,7 +153,15 @@ def _(spark, d):
 
 # --- sinks ------------------------------------------------------------------
 
-@query("stored_incidents", "K1")
+_CONFIDENCE = CHECKS["article_confidence"]
+_FULL_SIGNATURE = ("substring(md5(" + label_sql("lower(title)", lex.EVENT_TYPES, "incident") + " || ':' || CASE WHEN len(f) = 0 THEN 'unknown' ELSE array_to_string(f, ',') END || ':' || "
+                   "strftime(published, '%Y-%m-%dT%H:%M:%S.%f')), 1, 16)")
+
+
+@query("stored_incidents", "K1", (
+    f"SELECT v.seq, {_FULL_SIGNATURE} AS signature, c.confidence, strftime(i.published, '%Y-%m-%d') AS day FROM ({ordered_sql('seq')}) v JOIN "
+    "(SELECT *, list_filter(" + list_sql(sorted(lex.SIGNATURE_PLACES)) + f", lambda w: contains(lower(concat_ws(', ', city, country)), w)) AS f FROM ({sql_view(INCIDENTS)})) i ON i.seq = v.seq "
+    f"JOIN ({_CONFIDENCE}) c ON c.id = i.id WHERE v.status = 'accepted'"))
 def _(spark, d):
     from vigilake.operators import screening
 
@@ -163,7 +171,7 @@ def _(spark, d):
     return spark.read.parquet(f"{path}/incidents").select("seq", "signature", "confidence", F.col("published_date").cast("string").alias("day"))
 
 
-@query("stored_groups", "K2")
+@query("stored_groups", "K2", groups_sql("SELECT group_id, badge, CAST(score AS INT) AS score, members, num_sources FROM groups"))
 def _(spark, d):
     members = cut(grouped(spark, d, "levenshtein"))
     path = fresh_path(spark, "groups")
@@ -171,7 +179,7 @@ def _(spark, d):
     return spark.read.schema("group_id bigint, badge string, score int, members bigint, num_sources bigint").json(f"{path}/groups")
 
 
-@query("stored_regional_stats", "K4", None)
+@query("stored_regional_stats", "K4", CHECKS["regional_stats"])
 def _(spark, d):
     path = fresh_path(spark, "regional")
     writers.write_regional_stats(stats_rows(spark, d), path)
@@ -255,7 +263,7 @@ def _(spark, d):
     return streams.run_to_parquet(streams.distinct_signatures(rows).select("signature"), "signatures")
 
 
-@query("streamed_screening", "T3")
+@query("streamed_screening", "T3", ordered_sql("seq"))
 def _(spark, d):
     rows = stream(spark, d, INCIDENTS).select(
         "seq", "title", F.concat_ws(", ", "city", "country").alias("location"),
@@ -298,7 +306,21 @@ def _(spark, d):
     return streams.run_to_parquet(streams.moderate(stream(spark, d, REPORTS)), "moderation").select("seq", "incident_id", "verdict")
 
 
-@query("streamed_moderation_with_release", "T8")
+# all incidents walk their reports side by side; releasing lifts the flag, not the count
+_RELEASES = (f"SELECT seq, incident_id, {_FP} AS fp, reason IN ({_REASONS}) AS valid, seq % 50 = 0 AS unhide, "
+             "row_number() OVER (PARTITION BY incident_id ORDER BY ts, seq) AS rn FROM reports")
+_RELEASE_VERDICT = ("CASE WHEN r.unhide THEN CASE WHEN w.hidden THEN 'released' ELSE 'not_hidden' END WHEN NOT r.valid THEN 'invalid_reason' "
+                    "WHEN w.hidden THEN 'under_review' WHEN list_contains(w.devices, r.fp) THEN 'already_reported' "
+                    "WHEN w.n + 1 >= 5 THEN 'accepted_hidden' ELSE 'accepted' END")
+
+
+@query("streamed_moderation_with_release", "T8", (
+    "WITH RECURSIVE " + with_views("", reports_in="SELECT * FROM reports").removeprefix("WITH ").strip() + f", r AS MATERIALIZED ({_RELEASES}), "
+    "walk(incident_id, i, n, hidden, devices, seq, verdict) AS (SELECT DISTINCT incident_id, 0::BIGINT, 0, false, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR FROM r UNION ALL "
+    "SELECT incident_id, i + 1, CASE WHEN starts_with(v, 'accepted') THEN n + 1 ELSE n END, CASE WHEN unhide THEN false ELSE hidden OR v = 'accepted_hidden' END, "
+    "CASE WHEN starts_with(v, 'accepted') THEN list_append(devices, fp) ELSE devices END, seq, v FROM "
+    f"(SELECT w.incident_id, w.i, w.n, w.hidden, w.devices, r.seq, r.fp, r.unhide, {_RELEASE_VERDICT} AS v FROM walk w JOIN r ON r.incident_id = w.incident_id AND r.rn = w.i + 1)) "
+    "SELECT seq, incident_id, verdict, n AS reports, hidden AS is_hidden FROM walk WHERE i > 0"))
 def _(spark, d):
     rows = stream(spark, d, REPORTS).withColumn("action", F.when(F.col("seq") % 50 == 0, "unhide").otherwise("report"))
     return streams.run_to_parquet(streams.moderate(rows), "release").select("seq", "incident_id", "verdict", "reports", "is_hidden")
