@@ -199,7 +199,6 @@ def confidence(df: DataFrame, as_of: str, published: str = "published") -> DataF
          for n, col, words in lex.CONFIDENCE_POINTS), F.lit(0))
     seconds = F.timestamp_diff("SECOND", F.col(published), F.lit(as_of).cast("timestamp_ntz"))
     points = points + F.coalesce(steps(seconds, [(6 * 3600, 10), (24 * 3600, 5)], 0, "lt"), F.lit(0))
-    points = F.when(F.col(published).isNull(), points).otherwise(points)
     return (
         once(lowered, confidence_points=points)
         .withColumn("confidence", steps(F.col("confidence_points"), lex.CONFIDENCE_LEVELS, "OSINT"))

@@ -17,8 +17,11 @@ def _country(df: DataFrame) -> DataFrame:
 
 def actor_action_patterns(df: DataFrame) -> DataFrame:
     """Counts per actor, action and country."""
-    found = actor_action(_country(df)).filter(F.col("actor").isNotNull())
-    return found.groupBy("actor", "action", "country").agg(F.count("*").alias("n"))
+    return _pattern_counts(actor_action(_country(df)))
+
+
+def _pattern_counts(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("actor").isNotNull()).groupBy("actor", "action", "country").agg(F.count("*").alias("n"))
 
 
 def country_patterns(df: DataFrame) -> DataFrame:
@@ -60,12 +63,13 @@ def followup_outcomes(events: DataFrame, bucket_seconds: int = 3600) -> DataFram
     a trigger at u has C(u + frame) - C(u) followers. Each trigger therefore
     probes C at its own time and at the three frame ends. C splits into a prefix
     over time buckets, summed per bucket, and a running count inside the probe's
-    bucket, so the widest window group is one bucket of one country and type.
+    bucket, so the widest window group is one bucket of one country and type. The
+    events are read once: five narrow columns are kept for the branches.
     """
     span = bucket_seconds * 1_000_000
-    rows = _country(events).select(
+    rows = cut(_country(events).select(
         "country", "type", "id", F.unix_micros(F.col("published").cast("timestamp")).alias("at")
-    ).withColumn("b", F.floor(F.col("at") / F.lit(span)))
+    ).withColumn("b", F.floor(F.col("at") / F.lit(span))))
     triggers = rows.groupBy("country", F.col("type").alias("trigger_type")).agg(F.count("*").alias("triggers"))
 
     ends = [("start", 0), *dims.FRAME_SECONDS.items()]
@@ -122,12 +126,8 @@ def daily_frequency(df: DataFrame) -> DataFrame:
     return df.groupBy(F.date_format("published", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-def escalation(df: DataFrame) -> DataFrame:
-    """Last three days against the first three, in percent, when at least six
-    days have data; otherwise zero. One row."""
-    days = F.array_sort(F.collect_list(F.struct("day", "n")))  # one entry per calendar day
-    out = daily_frequency(df).agg(F.sum("n").alias("incidents"), days.alias("_days"))
-
+def _escalated(days: DataFrame) -> DataFrame:
+    """``incidents, days, escalation_pct`` from one row of ``incidents`` and sorted ``_days``."""
     def total(part):
         return F.aggregate(part, F.lit(0).cast("bigint"), lambda a, d: a + d["n"])
 
@@ -135,23 +135,37 @@ def escalation(df: DataFrame) -> DataFrame:
     early = total(F.slice("_days", 1, 3))
     late = total(F.slice("_days", F.greatest(F.lit(1), size - 2), 3))
     rate = F.when((size >= 6) & (early > 0), F.round((late - early) * 100.0 / early, 1)).otherwise(F.lit(0.0))
-    return out.withColumn("days", size).withColumn("escalation_pct", rate).drop("_days")
+    return days.withColumn("days", size).withColumn("escalation_pct", rate).drop("_days")
+
+
+def escalation(df: DataFrame) -> DataFrame:
+    """Last three days against the first three, in percent, when at least six
+    days have data; otherwise zero. One row."""
+    days = F.array_sort(F.collect_list(F.struct("day", "n")))  # one entry per calendar day
+    return _escalated(daily_frequency(df).agg(F.sum("n").alias("incidents"), days.alias("_days")))
 
 
 def activity_trends(df: DataFrame) -> DataFrame:
-    """Most active actor, most targeted country, dominant type, escalation. One row."""
-    rows = actor_action(_country(df))
+    """Most active actor, most targeted country, dominant type, escalation. One
+    row, from one pass: counts per actor, country, type and day are grouping sets."""
+    sets = ["actor", "country", "type", "day"]
+    rows = actor_action(_country(df)).withColumn("day", F.date_format("published", "yyyy-MM-dd"))
+    counts = rows.select(*sets).groupingSets([[c] for c in sets], *sets).agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("n"))
+    whole = 2 ** len(sets) - 1
+
+    def of(name: str):  # the grouping id has a zero bit where the column is grouped
+        return F.col("_g") == whole - 2 ** (len(sets) - 1 - sets.index(name))
 
-    def leading(name: str, alias: str) -> DataFrame:
-        counts = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
-        return counts.agg(F.coalesce(F.min_by(F.col(name), F.struct(-F.col("n"), F.col(name))),
-                                     F.lit("Unknown")).alias(alias))
+    def leading(name: str):
+        order = F.when(of(name) & F.col(name).isNotNull(), F.struct(-F.col("n"), F.col(name)))
+        return F.coalesce(F.min_by(F.col(name), order), F.lit("Unknown"))
 
-    out = escalation(df)
-    for name, alias in (("actor", "most_active_actor"), ("country", "most_targeted_country"),
-                        ("type", "dominant_type")):
-        out = out.join(F.broadcast(leading(name, alias)))  # one row each
-    return out.withColumn("daily_avg", F.round(F.col("incidents") / 14.0, 1))
+    days = F.array_sort(F.collect_list(F.when(of("day"), F.struct("day", "n"))))
+    return _escalated(counts.agg(
+        F.sum(F.when(of("day"), F.col("n"))).alias("incidents"), days.alias("_days"),
+        leading("actor").alias("most_active_actor"), leading("country").alias("most_targeted_country"),
+        leading("type").alias("dominant_type"))).withColumn("daily_avg", F.round(F.col("incidents") / 14.0, 1))
 
 
 # --- scenarios --------------------------------------------------------------
@@ -164,6 +178,8 @@ def predict(scenarios: DataFrame, incidents: DataFrame, rules: DataFrame | None
     ``incidents`` should already be cut to the look-back window."""
     spark = scenarios.sparkSession
     scenarios = cut(scenarios)  # five branches read it
+    incidents = cut(actor_action(_country(incidents)).select(  # so do three of these
+        "id", "country", "type", "published", "actor", "action"))
     if rules is None:
         rules = dims.seed_table(spark, [(*r, i) for i, r in enumerate(dims.ACTION_RULES)], [
             "action", "category", "outcome", "probability", "timeframe", "confidence", "pos"])
@@ -184,7 +200,7 @@ def predict(scenarios: DataFrame, incidents: DataFrame, rules: DataFrame | None
         F.concat(F.lit("Based on "), F.col("incidents").cast("string"), F.lit(" recent incidents")).alias("confidence"),
     ), F.lit(0))
 
-    seen = actor_action_patterns(incidents)
+    seen = _pattern_counts(incidents)
     order = Window.partitionBy("actor", "action").orderBy(F.desc("n"), F.asc("country"))
     leaders = seen.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= 3).groupBy(
         "actor", "action").agg(F.max("n").alias("top_n"), F.array_sort(
@@ -230,3 +246,12 @@ def scenarios_seen(incidents: DataFrame) -> DataFrame:
     """Every (actor, action, country) the incidents show, as scenarios."""
     return actor_action_patterns(incidents).select(
         F.concat_ws("|", "actor", "action", "country").alias("scenario_id"), "actor", "action", "country")
+
+
+def scenario_places(incidents: DataFrame, countries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every choice of country and target a scenario may name (both fixed lists of
+    a few rows), with the incidents seen in the country."""
+    seen = incidents.groupBy(F.lower(F.replace("country", F.lit(" Arabia"), F.lit(""))).alias("country")).agg(
+        F.count("*").alias("incidents"))
+    choices = countries.withColumn("_list", F.lit(0)).join(targets.withColumn("_list", F.lit(0)), "_list").drop("_list")
+    return choices.join(seen, "country", "left").withColumn("incidents", F.coalesce("incidents", F.lit(0)))

@@ -18,7 +18,6 @@ from vigilake.operators.enrich import (casualties, classify_with_confidence, cou
                                        dominant_country, interception_flags, reliability_group,
                                        ui_severity)
 from vigilake.operators.filters import defense_relevant, head_per_key, hours_before
-from vigilake.session import cut
 
 
 def zero_fill(dimension: DataFrame, counts: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -106,8 +105,6 @@ def country_trend(recent: DataFrame) -> DataFrame:
 def country_stats(facts: DataFrame) -> DataFrame:
     """One record per listed country, zero-filled, with its trend."""
     spark = facts.sparkSession
-    facts = cut(facts.select("seq", "id", "title", "published", "stats_type", "stats_country",
-                             "cas_total", "cas_military", "cas_civilian"))  # read twice below
     listed = dims.seed_table(spark, dims.COUNTRIES, dims.COUNTRY_COLUMNS).select("code", "name", "flag")
     counts = facts.groupBy(F.col("stats_country").alias("code")).agg(*_measures())
     trend = country_trend(recent_per_country(facts)).select(
@@ -245,6 +242,11 @@ def threat_post_summary(threats: DataFrame, accounts_monitored: int = len(dims.A
         "accounts_monitored", F.lit(accounts_monitored))
 
 
+def first_threats(threats: DataFrame, k: int = 5) -> DataFrame:
+    """The alerts of a run's report: its first ``k`` threats in arrival order."""
+    return threats.orderBy("post_id").limit(k)
+
+
 def screening_stats(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     """Counts of one screening run; flagged (kept) and dropped recaps are separate."""
     kept = accepted.agg(F.count("*").alias("accepted"), F.countDistinct("signature").alias("unique_signatures"),

@@ -126,6 +126,12 @@ def _(spark, d):
     return filters.flag_arabic(table(spark, d, "documents"), "text").select("doc_id", "has_arabic")
 
 
+@query("arabic_documents", "F15", "SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL AS has_arabic FROM documents")
+def _(spark, d):
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" \u062e\u0628\u0631"))).otherwise(F.col("text"))
+    return filters.flag_arabic(table(spark, d, "documents").withColumn("text", marked), "text").select("doc_id", "has_arabic")
+
+
 @query("hot_detections", "F12", with_views("SELECT id, round(frp, 4) AS frp FROM thermal WHERE frp > 50 ORDER BY id LIMIT 5"))
 def _(spark, d):
     return filters.new_hotspots(view(spark, d, THERMAL)).select("id", F.round("frp", 4).alias("frp"))

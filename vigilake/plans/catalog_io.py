@@ -179,7 +179,7 @@ def _(spark, d):
     return spark.read.schema("group_id bigint, badge string, score int, members bigint, num_sources bigint").json(f"{path}/groups")
 
 
-@query("stored_regional_stats", "K4", CHECKS["regional_stats"])
+@query("stored_regional_stats", "K4", f"SELECT scope, label, incidents, casualties_total, missiles_launched FROM ({CHECKS['regional_stats']})")
 def _(spark, d):
     path = fresh_path(spark, "regional")
     writers.write_regional_stats(stats_rows(spark, d), path)
@@ -283,6 +283,21 @@ def _(spark, d):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity_level", "n")
 
 
+_ARRIVALS = "SELECT *, id % 2 AS arrival, CASE WHEN id % 14 = 1 THEN published - INTERVAL '480' HOUR ELSE published END AS moved FROM incidents"
+
+
+@query("streamed_late_rows", "T1,T4", with_views(
+    "SELECT strftime(day, '%Y-%m-%d') AS day, severity_level, count(*) AS n FROM (SELECT arrival, date_trunc('day', moved) AS day, coalesce(severity, 'medium') AS severity_level FROM p), "
+    "(SELECT max(moved) FILTER (arrival = 0) - INTERVAL '72' HOUR AS closed, max(moved) - INTERVAL '72' HOUR AS done FROM p) "
+    "WHERE (arrival = 0 OR day + INTERVAL '24' HOUR > closed) AND day + INTERVAL '24' HOUR <= done GROUP BY 1, 2", p=_ARRIVALS))
+def _(spark, d):
+    rows = incidents(spark, d).selectExpr(
+        "id % 2 AS arrival", "severity", "CASE WHEN id % 14 = 1 THEN published - INTERVAL '480' HOUR ELSE published END AS published")
+    parts = [rows.filter(f"arrival = {k}").drop("arrival") for k in (0, 1)]
+    out = streams.run_arrivals(parts, streams.tumbling_counts, "late")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity_level", "n")
+
+
 @query("streamed_sliding_types", "T5", with_views(
     "SELECT strftime(h, '%Y-%m-%d %H:%M') AS window_start, type, count(*) AS n FROM (SELECT type, date_trunc('hour', published) - INTERVAL '1' HOUR * k AS h FROM incidents, (SELECT unnest(range(0, 24)) AS k)) WHERE h <= "
     + _closed(24) + " GROUP BY 1, 2"))

@@ -362,6 +362,13 @@ def _(spark, d):
     return stats.threat_post_summary(enrich.threat_indicators(_posts(spark, d)))
 
 
+@query("threat_alerts", "A35", with_views(
+    f"SELECT post_id, account_name, indicators, threat_severity FROM ({THREAT_SQL}) ORDER BY post_id LIMIT 5"))
+def _(spark, d):
+    return stats.first_threats(enrich.threat_indicators(_posts(spark, d))).select(
+        "post_id", "account_name", F.array_join("threat_indicators", "|").alias("indicators"), "threat_severity")
+
+
 @query("newest_first", "sorts", with_views("SELECT id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM incidents ORDER BY incidents.published DESC, id LIMIT 25"))
 def _(spark, d):
     return stats.top_k(incidents(spark, d), [F.desc("published"), F.asc("id")], 25).select(
@@ -460,6 +467,16 @@ def _(spark, d):
     return seen.join(actors, "actor").join(actions, "action").select("actor", "actor_name", "action", "action_name", "n")
 
 
+@query("scenario_countries", "R3", with_views(
+    "SELECT s.key AS country, s.name, t.target, t.target_name, coalesce(n, 0) AS incidents FROM "
+    f"{values_sql(dims.SCENARIO_COUNTRIES, 's', ['key', 'name'])} CROSS JOIN {values_sql(dims.SCENARIO_TARGETS, 't', ['target', 'target_name'])} "
+    "LEFT JOIN (SELECT lower(replace(country, ' Arabia', '')) AS key, count(*) AS n FROM incidents GROUP BY 1) c ON c.key = s.key"))
+def _(spark, d):
+    listed = dims.seed_table(spark, dims.SCENARIO_COUNTRIES, ["country", "name"])
+    targets = dims.seed_table(spark, dims.SCENARIO_TARGETS, ["target", "target_name"])
+    return patterns.scenario_places(incidents(spark, d), listed, targets)
+
+
 # --- response timelines -----------------------------------------------------
 
 def _pattern_case(text: str, rules) -> str:

@@ -4,7 +4,7 @@ available input into files and returns them as a batch DataFrame."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,20 +36,35 @@ def with_event_time(df: DataFrame, col: str = "published", lateness: str = LATEN
     return df.withColumn("event_time", F.col(col).cast("timestamp")).withWatermark("event_time", lateness)
 
 
-def run_to_parquet(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process what is available now, then read the sink back."""
-    spark = df.sparkSession
-    out, state = fresh_path(spark, f"{label}-out"), fresh_path(spark, f"{label}-state")
+def drain(df: DataFrame, out: str, state: str, mode: str = "append") -> None:
+    """Process what is available now; a later call with the same folders goes on from there."""
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", out)
     else:
         # full result of each trigger replaces the one before
         query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    query = query.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_parquet(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Process what is available now, then read the sink back."""
+    spark = df.sparkSession
+    out = fresh_path(spark, f"{label}-out")
+    drain(df, out, fresh_path(spark, f"{label}-state"), mode)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_arrivals(arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """The stream of several arrivals, each landing after the one before was processed; read back as one batch."""
+    spark = arrivals[0].sparkSession
+    landing, out, state = (fresh_path(spark, f"{label}-{part}") for part in ("in", "out", "state"))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(landing)
+        stream = transform(spark.readStream.schema(rows.schema).parquet(landing))
+        drain(stream, out, state)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 # --- dedup ------------------------------------------------------------------
 
 def distinct_signatures(articles: DataFrame) -> DataFrame:
@@ -64,14 +79,8 @@ def screen_batch(batch: DataFrame, batch_id: int, accepted_path: str, verdict_pa
     replayed batch writes the same files again."""
     spark = batch.sparkSession
     cols = ["seq", "title", "location", "date", "source", "content", "published"]
-    history = None
-    try:
-        past = spark.read.parquet(accepted_path).filter(F.col("batch_id") < batch_id)
-        if not past.isEmpty():
-            history = past.select(*cols)
-    except Exception as error:  # nothing accepted yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
+    # every batch leaves a folder, an empty one too, so only the first finds none
+    history = spark.read.parquet(accepted_path).filter(F.col("batch_id") < batch_id).select(*cols) if batch_id else None
     verdicts = screen_articles(batch.select(*cols), history, metric)
     verdicts = verdicts.persist()
     verdicts.filter(F.col("status") == "accepted").select(*cols).write.mode("overwrite").parquet(
