@@ -324,6 +324,28 @@ def test_passages_are_cut_once(spark, docs, empty):
     assert {"shard", "fp", "ids"} <= set(chunks.without_repeats(docs).columns)
 
 
+def test_short_repeats_stay(spark):
+    rng = random.Random(12)
+    short, long = prose(25, rng), prose(55, rng)
+    rows = [(i, f"{prose(60, rng)} {short} {prose(60, rng)} {long} {prose(60, rng)}", "en", "a") for i in range(4)]
+    got = {r["doc_id"]: r for r in chunks.without_repeats(documents(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        assert short in got[i]["text"] and (long in got[i]["text"]) == (i == 0)
+        assert (got[i]["text"] == text) == (i == 0)
+
+
+def test_room_reaches_into_the_chunks_beside_a_run():
+    gear, rng = chunks.gear_table(), random.Random(13)
+    for _ in range(300):
+        passage = prose(50, rng)
+        a, b = [(prose(80, rng) + " " + passage + " " + prose(80, rng)).encode() for _ in range(2)]
+        seen = {d: 1 for d in chunks.digests(a, chunks.cuts(a, gear))}
+        ends = chunks.cuts(b, gear)
+        owners = [seen.get(d) for d in chunks.digests(b, ends)]
+        found = chunks.runs(ends, owners, chunks.LEAST_RUN, chunks.LEAST_SHARED)
+        assert all(chunks.room(b, ends, *r) >= 50 for r in found)
+
+
 def test_cuts_move_only_near_an_insertion():
     gear, rng = chunks.gear_table(), random.Random(9)
     data = prose(2000, rng).encode()

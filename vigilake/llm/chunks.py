@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,6 +17,8 @@ MASK_BITS = 4
 SHORTEST, SPARSE, LONGEST = 8, 128, 1024
 #: Bytes that a run of repeated chunks must cover, and bytes of it that one earlier document must hold.
 LEAST_RUN, LEAST_SHARED = 96, 64
+#: Words that a repeated passage holds. A cut depends on this many bytes before it.
+LEAST_WORDS, LOOK_BACK = 50, 23
 #: Stands for the text itself where it repeats its own passage.
 OWN = -1 << 63
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
@@ -91,6 +95,18 @@ def runs(ends: list[int], owners: list[int | None], least: int, shared: int) ->
     return found
 
 
+def room(data: bytes, ends: list[int], start: int, end: int) -> int:
+    """Most words that a repeated passage can hold whose repeated chunks cover ``start`` to ``end``.
+
+    It may begin and stop inside the chunks beside the run, and begin further ahead by what
+    the first cut inside it depends on.
+    """
+    before, after = bisect_left(ends, start), bisect_right(ends, end)
+    low = ends[before - 1] if start and before else 0
+    high = ends[after] if after < len(ends) else len(data)
+    return len(data[max(0, low - LOOK_BACK if start else 0):high].split())
+
+
 def snapped(data: bytes, start: int, end: int) -> tuple[int, int]:
     """The range shrunk to whole words, or to whole characters where it holds no white space."""
     a, b = start, end
@@ -125,7 +141,7 @@ def _chunked(mask_bits: int):
     return emit
 
 
-def _cleaner(mask_bits: int, least: int, shared: int, names: list[str]):
+def _cleaner(mask_bits: int, least: int, shared: int, words: int, names: list[str]):
     def clean(batches):
         gear = gear_table()
         for batch in batches:
@@ -139,7 +155,8 @@ def _cleaner(mask_bits: int, least: int, shared: int, names: list[str]):
                 for d in digests(data, ends):
                     owners.append(earlier.get(d))
                     earlier.setdefault(d, OWN)
-                gone = [s for s in (snapped(data, *r) for r in runs(ends, owners, least, shared)) if s[0] < s[1]]
+                found = [r for r in runs(ends, owners, least, shared) if room(data, ends, *r) >= words]
+                gone = [s for s in (snapped(data, *r) for r in found) if s[0] < s[1]]
                 if gone:
                     kept, last = [], 0
                     for a, b in gone:
@@ -159,15 +176,17 @@ def _cleaner(mask_bits: int, least: int, shared: int, names: list[str]):
 
 
 def without_repeats(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST_RUN,
-                    shared: int = LEAST_SHARED) -> DataFrame:
+                    shared: int = LEAST_SHARED, words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with passages cut out that occur earlier; adds ``cut_spans``.
 
     Texts are split at content-defined places; a chunk is repeated if its digest
     occurs in a document of smaller id or earlier in the same text. Runs of repeated
     chunks over ``least`` bytes or more, with ``shared`` bytes in a row from one
     document, are removed, shrunk to whole words, so the document of the smallest id
-    keeps its copy. ``cut_spans`` has their byte ranges in the old text. A passage of
-    50 words is some 290 bytes, eleven chunks on average.
+    keeps its copy. A run is left alone if even with the chunks beside it, which the
+    passage may reach into, it has no room for ``words`` words. ``cut_spans`` has
+    the byte ranges in the old text. A passage of 50 words is some 290 bytes, eleven
+    chunks on average.
 
     Null text stays null, an empty one empty. Null ids come last and count as one
     document, as do rows with one id: they are not cut against each other. Other
@@ -190,7 +209,7 @@ def without_repeats(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LE
               .join(seen, "_key", "left").drop("_key"))
     fields = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in rest)
     cleaned = joined.mapInArrow(
-        _cleaner(mask_bits, least, shared, rest),
+        _cleaner(mask_bits, least, shared, words, rest),
         f"{fields}, text string, cut_spans array<struct<start: bigint, `end`: bigint>>")
     return cleaned.select(*[F.col(f"`{c}`") for c in plain.columns], "cut_spans")
 
