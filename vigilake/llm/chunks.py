@@ -14,7 +14,7 @@ from vigilake.llm.common import LAST_ID, ship, without
 
 #: One place in 16 may end a chunk, unless another does within the 7 bytes before it: 25 bytes on average.
 MASK_BITS = 4
-SHORTEST, SPARSE, LONGEST = 8, 128, 1024
+SHORTEST, LONGEST = 8, 128
 #: Bytes that a run of repeated chunks must cover, and bytes of it that one earlier document must hold.
 LEAST_RUN, LEAST_SHARED = 96, 64
 #: Words that a repeated passage holds. A cut depends on this many bytes before it.
@@ -29,6 +29,24 @@ def gear_table(seed: int = 8) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+def divided(rolling: np.ndarray, start: int, end: int) -> list[int]:
+    """Ends between ``start`` and ``end``: where the hash is smallest, then so in each part still too long."""
+    ends, todo = [], [(start, end)]
+    while todo:
+        a, b = todo.pop()
+        gap = rolling[a + SHORTEST - 1:b - SHORTEST]
+        last = a
+        for inner in (np.flatnonzero(gap == gap.min()) + a + SHORTEST).tolist():
+            if inner - last >= SHORTEST:
+                ends.append(inner)
+                if inner - last > LONGEST:
+                    todo.append((last, inner))
+                last = inner
+        if b - last > LONGEST:
+            todo.append((last, b))
+    return sorted(ends)
+
+
 def cuts(data: bytes, gear: np.ndarray, mask_bits: int = MASK_BITS) -> list[int]:
     """Ends of the chunks of ``data``, the last one its length.
 
@@ -37,9 +55,9 @@ def cuts(data: bytes, gear: np.ndarray, mask_bits: int = MASK_BITS) -> list[int]
     at once. A place qualifies where the bits that all 16 reach are zero, and ends
     a chunk if no other qualifies just before it. So ends depend on the 23 bytes
     before them alone, and an insertion moves only the chunks around it. Over 128
-    bytes without an end are divided where their smallest hash stands, which in
-    periodic text is one phase of the period, whatever its surroundings. Beyond 1,024
-    bytes a chunk ends anyway.
+    bytes without an end are divided where their smallest hash stands, and again
+    until no part is longer; in periodic text that is one phase of the period,
+    whatever its surroundings.
     """
     if not data:
         return []
@@ -55,15 +73,8 @@ def cuts(data: bytes, gear: np.ndarray, mask_bits: int = MASK_BITS) -> list[int]
     places = places[np.diff(places, prepend=-SHORTEST) >= SHORTEST] if len(places) else places
     ends, last = [], 0
     for end in (*places.tolist(), len(data)):
-        if end - last > SPARSE:
-            gap = rolling[last:end - SHORTEST]
-            for inner in (np.flatnonzero(gap == gap.min()) + last + 1).tolist():
-                if inner - last >= SHORTEST:
-                    ends.append(inner)
-                    last = inner
-        while end - last > LONGEST:
-            last += LONGEST
-            ends.append(last)
+        if end - last > LONGEST:
+            ends.extend(divided(rolling, last, end))
         if end > last:
             ends.append(end)
             last = end
