@@ -179,3 +179,14 @@ def test_statistics_of_hand_written_incidents(spark):
     total = got["total", "all"]
     assert (total.incidents, total.missiles_launched, total.missiles_intercepted, total.missiles_landed) == (4, 2, 1, 1)
     assert (total.drones, total.drones_downed, total.airstrikes, total.casualties_total) == (1, 1, 1, 3)
+
+
+def test_long_lexicon_finds_what_contains_finds(spark):
+    texts = ["Rocket hits", "rock", "a", "", None, "xxROCKxx", "ab", "ket", "ROC", "ro ck"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, title string, keyword string")
+    for words in (["rock"], ["ro"], ["k", None], ["hits", "rocket hits"], [""], [None], ["a", "zzz"]):
+        expected = {i for i, t in enumerate(texts) if t is not None and any(w is not None and w in t.lower() for w in words)}
+        table = spark.createDataFrame([(w,) for w in words], "keyword string")
+        for most in (0, 100):
+            got = filters.filter_relevant(df, table, most=most)
+            assert got.columns == df.columns and {r.id for r in got.collect()} == expected, (words, most)

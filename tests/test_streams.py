@@ -32,3 +32,19 @@ def test_screened_stream_over_shuffled_files(spark, tmp_path):
     for r in streams.screen_stream(stream, "shuffled").collect():
         got[r.seq] = r.status if r.status in ("accepted", "recap") else "rejected"
     assert got == expected
+
+
+def test_latest_positions_keep_the_newest_row_over_triggers(spark, tmp_path):
+    rng, newest = random.Random(4), {}
+    for k in range(4):
+        rows = [(f"c{rng.randrange(6)}", rng.uniform(-9, 9), rng.uniform(-9, 9), rng.randrange(10_000)) for _ in range(12)]
+        for craft, lat, lon, ts in rows:
+            newest[craft] = max(newest.get(craft, (-1,)), (ts, lat, lon))
+        spark.createDataFrame(rows, "icao24 string, lat double, lon double, ts bigint").coalesce(1).write.parquet(
+            f"{tmp_path}/in/file={k}")
+    schema = spark.read.parquet(f"{tmp_path}/in/file=0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = streams.run_upserts(streams.latest_positions(stream), "crafts", "icao24").collect()
+    assert {r.icao24: (r.ts, r.lat, r.lon) for r in got} == newest
+    empty = streams.run_upserts(streams.latest_positions(stream.filter("ts < 0")), "none", "icao24")
+    assert empty.columns == ["icao24", "lat", "lon", "ts"] and empty.count() == 0

@@ -22,18 +22,51 @@ def hours_before(as_of: str, hours: float) -> Column:
     return at(as_of) - F.expr(f"INTERVAL '{int(hours * 3600)}' SECOND")
 
 
-def filter_relevant(df: DataFrame, words: Sequence[str] | DataFrame = None, col: str = "title") -> DataFrame:
-    """Keep rows whose text holds a keyword. A list becomes one OR predicate; a
-    DataFrame with a ``keyword`` column (a lexicon too long for that) is matched
-    by a semi join on ``contains``."""
+#: Longest lexicon table that is read into a predicate.
+PREDICATE_WORDS = 1000
+GRAM = 3
+
+
+def filter_relevant(df: DataFrame, words: Sequence[str] | DataFrame = None, col: str = "title",
+                    most: int = PREDICATE_WORDS) -> DataFrame:
+    """Keep rows whose text holds a keyword. A list, or a DataFrame with a
+    ``keyword`` column of at most ``most`` rows, becomes one OR predicate; a longer
+    lexicon is joined by ``holding_any``."""
     words = lex.RELEVANCE_WORDS if words is None else words
     if isinstance(words, DataFrame):
-        lowered = once(df, _text=F.lower(F.col(col)))
-        return lowered.join(words.select("keyword"), F.col("_text").contains(F.col("keyword")), "left_semi").drop("_text")
+        head = [r["keyword"] for r in words.select("keyword").dropna().distinct().limit(most + 1).collect()]
+        if len(head) > most:
+            return holding_any(df, words, col)
+        words = sorted(head)
+    if not words:
+        return df.limit(0)
     lowered = once(df, _text=F.lower(F.col(col)))  # else every keyword test lower-cases again
     return lowered.filter(has_any(F.col("_text"), words)).drop("_text")
 
 
+def holding_any(df: DataFrame, words: DataFrame, col: str) -> DataFrame:
+    """Rows whose lower-cased text holds a ``keyword`` of any number of them.
+
+    A text that holds a keyword holds its first ``GRAM`` letters, so texts (equal
+    ones once) and keywords meet by an equi join on those; only such pairs are
+    tested. A keyword shorter than that is its own gram, an empty one is in every text.
+    """
+    lowered = once(df, _text=F.lower(F.col(col)))
+    texts = lowered.select(F.md5("_text").alias("_key"), "_text").dropna().dropDuplicates(["_key"])
+    places = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
+
+    def pieces(size: int) -> Column:
+        return F.transform(places, lambda i: F.substr(F.col("_text"), i, F.lit(size)))
+
+    sizes = [pieces(n) for n in range(1, GRAM + 1)]
+    grams = texts.select("_key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *sizes))).alias("_gram"))
+    known = words.select("keyword").dropna().distinct().withColumn("_gram", F.substring("keyword", 1, GRAM))
+    near = grams.join(known, "_gram").select("_key", "keyword").distinct()
+    held = near.join(texts, "_key").filter(F.col("_text").contains(F.col("keyword"))).select("_key").distinct()
+    return lowered.withColumn("_key", F.md5("_text")).join(held, "_key", "left_semi").select(
+        *[F.col(f"`{c}`") for c in df.columns])
+
+
 def filter_recent(df: DataFrame, as_of: str, hours: int = 72, col: str = "published") -> DataFrame:
     """Published no more than ``hours`` before ``as_of``; a missing date counts as now."""
     return df.filter(F.col(col).isNull() | (F.col(col) >= hours_before(as_of, hours)))

@@ -30,6 +30,13 @@ def _(spark, d):
     return filters.filter_relevant(table(spark, d, "documents"), words, col="text").select(F.col("doc_id").alias("id"))
 
 
+@query("relevant_by_long_lexicon", "F1,J5",
+       f"SELECT doc_id AS id FROM documents WHERE {any_sql('lower(text)', lex.RELEVANCE_WORDS)}")
+def _(spark, d):
+    words = dims.seed_table(spark, lex.RELEVANCE_WORDS, ["keyword"])
+    return filters.holding_any(table(spark, d, "documents"), words, "text").select(F.col("doc_id").alias("id"))
+
+
 @query("recent_incidents", "F2", with_views(f"SELECT id FROM incidents WHERE published >= {_T} - INTERVAL '72' HOUR"))
 def _(spark, d):
     return filters.filter_recent(incidents(spark, d), AS_OF, 72).select("id")

@@ -345,7 +345,7 @@ def _(spark, d):
     "SELECT user_id AS icao24, round(max_by(lat, (published, id)), 6) AS lat, round(max_by(lng, (published, id)), 6) AS lon FROM incidents GROUP BY 1"))
 def _(spark, d):
     rows = stream(spark, d, INCIDENTS).select(F.col("user_id").alias("icao24"), "lat", F.col("lng").alias("lon"), F.col("published").alias("ts"))
-    out = streams.run_to_parquet(streams.latest_positions(rows), "positions", "complete")
+    out = streams.run_upserts(streams.latest_positions(rows), "positions", "icao24")
     return out.select("icao24", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilake.functions import lexicons as lex
@@ -54,6 +55,28 @@ def run_to_parquet(df: DataFrame, label: str, mode: str = "append") -> DataFrame
     return spark.read.schema(df.schema).parquet(out)
 
 
+def drain_changes(df: DataFrame, out: str, state: str) -> None:
+    """Process what is available now in update mode: each trigger adds a folder with
+    the rows that changed; a replayed trigger overwrites its own."""
+    (df.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/trigger={i}"))
+     .outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
+
+
+def newest_change(changes: DataFrame, key: str) -> DataFrame:
+    """The row of the last trigger per ``key``, from rows with a ``trigger`` column."""
+    rest = [c for c in changes.columns if c not in (key, "trigger")]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), "trigger").alias("_row")).select(key, "_row.*")
+
+
+def run_upserts(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Process what is available now and read back the newest row per ``key``."""
+    spark = df.sparkSession
+    out = fresh_path(spark, f"{label}-out")
+    drain_changes(df, out, fresh_path(spark, f"{label}-state"))
+    schema = T.StructType([*df.schema.fields, T.StructField("trigger", T.LongType())])
+    return newest_change(spark.read.schema(schema).parquet(out), key)
+
+
 def run_arrivals(arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """The stream of several arrivals, each landing after the one before was processed; read back as one batch."""
     spark = arrivals[0].sparkSession
@@ -130,7 +153,7 @@ def session_counts(visits: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def latest_positions(states: DataFrame) -> DataFrame:
-    """Newest position per craft (update or complete mode)."""
+    """Newest position per craft (update mode; ``run_upserts`` keeps the newest row per craft)."""
     return states.groupBy("icao24").agg(F.max_by(F.struct("lat", "lon", "ts"), F.struct("ts", "lat", "lon")).alias(
         "p")).select("icao24", "p.*")
 
