@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as named queries, with check SQL where SQL can express them."""
+"""The operators and the pipeline as named queries, with check SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import bpe, chunks, covering, fixity, language, lattice, mixing, sharding, sketch, toxicity
+from vigilake.llm import (alignment, bpe, chunks, conversation, covering, fixity, language, lattice, mixing, sharding,
+                          sketch, tokencounts, toxicity)
 from vigilake.llm.common import table
 
 #: Folder of the public vocabulary files; the installed package's own place unless set.
@@ -63,9 +64,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_document_components(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.documents_counted(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                    vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_fingerprints, op3_language, op4_lattice, op5_shards, op6_fixity, op7_bpe, op8_chunks,
-    op9_mixing, op10_simhash)}
+    op9_mixing, op10_simhash, op11_repair, op12_tokens, op13_alignment)}
 
 CHECKS = {
     "op9_mixing": r"""
