@@ -115,5 +115,5 @@ def test_long_text_in_parts():
     pair = alignment.Pair(open(BYTE).read(), open(PIECE, "rb").read())
     texts = [t or "" for t in TEXTS]
     whole = [(*r[:5], r[5].tolist(), r[6].tolist()) for r in alignment.document_rows(pair, texts)]
-    for letters in (1, 40, 3000):
-        assert [(*r[:5], r[5].tolist(), r[6].tolist()) for r in alignment.document_rows(pair, texts, letters)] == whole
+    for together in (1, 40, 3000):
+        assert [(*r[:5], r[5].tolist(), r[6].tolist()) for r in alignment.document_rows(pair, texts, together)] == whole

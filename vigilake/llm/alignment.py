@@ -6,8 +6,9 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from vigilake.session import fresh_path
 #: An id pair in at least this share of all (document, pair) rows is looked up in a table that
 #: every task holds: 2^21 entries of 8 bytes at most. All others are joined.
 COMMON = 2**21
-#: Letters of text whose distinct stretches a worker aligns together, so many at a time, and id pairs
-#: of documents that it hands on at once.
-LETTERS, STRETCHES, AT_ONCE = 8_000_000, 10_000, 500_000
+#: Stretches of text whose distinct ones a worker holds together, distinct ones that it aligns at once,
+#: and id pairs of documents that it hands on at once.
+TOGETHER, STRETCHES, AT_ONCE = 2_000_000, 10_000, 500_000
 #: Fixed value: the character that stands for a space in sentencepiece's pieces.
 _SPACE = "▁"
 
@@ -92,19 +93,32 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(_SPACE, " ").encode()
 
-    def tokens(self, texts: list[str]):
-        """Ids, tokens per text, and spans (character offsets of A, byte spans of B) of texts that begin with a space."""
-        coded = self.a.encode_batch(texts, add_special_tokens=False)
-        ids = [c.ids for c in coded]
+    def tokens(self, texts: list[str], first_letter: np.ndarray):
+        """Ids, tokens per text, and spans (letters of all texts in a row for A, bytes of each for B).
+
+        Texts begin with a space, so that A may have them in a row as long as none ends in white space.
+        """
+        runs, start = [], 0
+        for k, text in enumerate(texts):
+            if text[-1].isspace():
+                runs.append((start, k + 1))
+                start = k + 1
+        if start < len(texts):
+            runs.append((start, len(texts)))
+        coded = self.a.encode_batch(["".join(texts[i:j]) for i, j in runs], add_special_tokens=False)
         flat = chain.from_iterable
-        a = (np.fromiter(flat(ids), np.int64), np.array(list(map(len, ids)), np.int64),
-             np.fromiter(flat(flat(c.offsets for c in coded)), np.int64).reshape(-1, 2))
+        ids = [c.ids for c in coded]
+        a_ids = np.fromiter(flat(ids), np.int64)
+        spans = np.fromiter(flat(flat(c.offsets for c in coded)), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        spans += np.repeat(first_letter[[i for i, _ in runs]], list(map(len, ids)))[:, None]
+        n_a = np.bincount(np.searchsorted(first_letter, spans[:, 0], "right") - 1, minlength=len(texts))
         # B adds the first space itself
         coded = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", return_bytes=True, num_threads=1)
         ids = [c["ids"] for c in coded]
-        b = (np.fromiter(flat(ids), np.int64), np.array(list(map(len, ids)), np.int64),
-             np.fromiter(flat(flat(c["offsets"] for c in coded)), np.int64).reshape(-1, 2))
-        return a, b
+        b_ids = np.fromiter(flat(ids), np.int64)
+        b = b_ids, np.array(list(map(len, ids)), np.int64), np.fromiter(
+            flat(flat([c["offsets"] for c in coded])), np.int64, 2 * len(b_ids)).reshape(-1, 2)
+        return (a_ids, n_a, spans), b
 
     @staticmethod
     def ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -119,7 +133,8 @@ class Pair:
 
     def aligned(self, texts: list[str]) -> tuple[Aligned, np.ndarray]:
         """The alignment of each stretch, and whether both tokenizers give back its bytes (if not: no tokens)."""
-        a, b = self.tokens(texts)
+        first_letter = np.cumsum([0] + [len(t) for t in texts[:-1]])
+        a, b = self.tokens(texts, first_letter)
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         good = np.ones(len(texts), bool)
         whole = b"".join(data)
@@ -135,9 +150,8 @@ class Pair:
         starts = np.cumsum(sizes) - sizes
         letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         place = np.concatenate([[0], np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF), dtype=np.int64)])
-        first_letter = np.cumsum([0] + [len(t) for t in texts[:-1]])
         (a_ids, n_a, a_spans), (b_ids, n_b, b_spans) = a, b
-        a_ends = self.ends(place[a_spans + np.repeat(first_letter, n_a)[:, None]], self.a_sizes[a_ids])
+        a_ends = self.ends(place[a_spans], self.a_sizes[a_ids])
         b_spans = b_spans + 1 + np.repeat(starts, n_b)[:, None]
         b_spans[np.cumsum(n_b) - n_b, 0] -= 1
         b_ends = self.ends(b_spans, self.b_sizes[b_ids])
@@ -153,7 +167,8 @@ class Pair:
 
     def _grouped(self, a_ids, n_a, a_ends, b_ids, n_b, b_ends) -> Aligned:
         """Tokens end together where a group ends; every end of either begins a link of the next two."""
-        at = np.union1d(a_ends, b_ends)
+        at = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        at = at[np.diff(at, prepend=-1) > 0]
         a_at, b_at = np.searchsorted(a_ends, at), np.searchsorted(b_ends, at)
         common = (a_ends[a_at] == at) & (b_ends[b_at] == at)
         a_stretch, b_stretch = (np.repeat(np.arange(len(n)), n) for n in (n_a, n_b))
@@ -208,12 +223,16 @@ class Document:
         self.digest.update(b";" + names if self.parts else names)
         self.parts += 1
         self.numbers += [int(n[which].sum()) for n in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-        pairs = np.concatenate([self.pairs, found.pairs[gathered(found.first_link[which], found.n_links[which])]])
-        weights = np.concatenate([self.times, np.ones(len(pairs) - len(self.times), np.int64)])
-        order = np.argsort(pairs, kind="stable")
-        pairs = pairs[order]
+        pairs = np.sort(found.pairs[gathered(found.first_link[which], found.n_links[which])])
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
-        self.pairs, self.times = pairs[first], np.add.reduceat(weights[order], first)
+        pairs, times = pairs[first], np.diff(first, append=len(pairs))
+        if len(self.pairs):  # an earlier part of the text
+            pairs, times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            pairs, times = pairs[first], np.add.reduceat(times[order], first)
+        self.pairs, self.times = pairs, times
 
     def row(self):
         """``n_a, n_b, n_groups, n_links, hash, pairs, times``."""
@@ -222,11 +241,11 @@ class Document:
         return *self.numbers.tolist(), self.digest.hexdigest(), self.pairs, self.times.astype(np.int32)
 
 
-def document_rows(pair: Pair, texts, letters: int = LETTERS):
-    """A row of ``Document`` for each text, in order. Distinct stretches of some ``letters``
-    letters of text are aligned together; a longer text comes in several such parts."""
+def document_rows(pair: Pair, texts, together: int = TOGETHER):
+    """A row of ``Document`` for each text, in order. The distinct ones of some ``together``
+    stretches of text are aligned at a time; a longer text comes in several such parts."""
     open_docs: list[Document] = []
-    known: dict[str, int] = {}
+    known: defaultdict[str, int] = defaultdict(count().__next__)
     waiting, held = [], 0
 
     def settle():
@@ -235,6 +254,7 @@ def document_rows(pair: Pair, texts, letters: int = LETTERS):
             for doc, which in waiting:
                 doc.add(found, good, which)
         known.clear()
+        known.default_factory = count().__next__
         waiting.clear()
         rows = [d.row() for d in open_docs]
         open_docs.clear()
@@ -242,16 +262,15 @@ def document_rows(pair: Pair, texts, letters: int = LETTERS):
 
     for text in texts:
         doc = Document()
-        which: list[int] = []
-        for part in stretches(" " + text) if text else ():
-            which.append(known.setdefault(part, len(known)))
-            held += len(part)
-            if held >= letters:  # the text goes on after these
-                waiting.append((doc, np.array(which, np.int64)))
+        parts = stretches(" " + text) if text else []
+        at = 0
+        while at < len(parts):
+            here = parts[at:at + together - held]
+            waiting.append((doc, np.fromiter(map(known.__getitem__, here), np.int64, len(here))))
+            held, at = held + len(here), at + len(here)
+            if held >= together:  # the text goes on after these
                 yield from settle()
-                which, held = [], 0
-        if which:
-            waiting.append((doc, np.array(which, np.int64)))
+                held = 0
         open_docs.append(doc)
     yield from settle()
 
