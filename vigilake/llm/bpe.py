@@ -19,8 +19,9 @@ from vigilake.llm.common import ship, without
 _END = "\ue000"  # stands for the suffix that marks a word's end
 #: The Unicode characters with the property White_Space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words remembered by a worker, and ids or documents that it hands over at once.
-CACHED, IDS_OUT, DOCS_OUT = 200_000, 500_000, 512
+#: Bytes of words and of token pairs (some 200 bytes each) that a task remembers, and ids or documents that it
+#: hands over at once.
+WORD_BYTES, PAIRS, IDS_OUT, DOCS_OUT = 20_000_000, 60_000, 500_000, 512
 
 
 def byte_letters() -> list[str]:
@@ -68,7 +69,7 @@ class WordBpe:
         """Whether encoding both together gives these two tokens again."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -98,25 +99,32 @@ class WordBpe:
 
 
 class TextBpe(dict):
-    """Words to (ids, decoded word); missing words are encoded, all are forgotten when too many."""
+    """Words to (ids, decoded word); missing words are encoded, all are forgotten at ``WORD_BYTES``."""
 
     def __init__(self, vocabulary: str):
+        super().__init__()
+        self.size = 0
         self.words = WordBpe(vocabulary)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.words.specials)) + ")")
         self.pieces = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACES + r"\p{L}\p{N}]+")
 
     def __missing__(self, word):
-        if len(self) >= CACHED:
-            self.clear()
         letters = self.words.letters
         ids = self.words.encode("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
         ids = tuple(ids)
         found = ids, " ".join([self.words.names[i] for i in ids])
         if len(word) < 64:
+            self.size += 350 + 3 * len(word) + 8 * len(ids)  # as Python keeps a word, its ids and its decoded form
+            if self.size > WORD_BYTES:
+                self.forget()
             self[word] = found
         return found
 
+    def forget(self):
+        self.clear()
+        self.size = 0
+
     def found(self, text: str) -> list[tuple]:
         out = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
@@ -146,6 +154,14 @@ def _coder(shared, names):
 
     def run(batches):
         model = _model(shared)
+        try:
+            yield from coded(model, batches)
+        finally:  # the worker lives on, and may serve other work
+            model.forget()
+            model.words.fits.clear()
+            pa.default_memory_pool().release_unused()
+
+    def coded(model, batches):
         for batch in batches:
             flat, ends, decoded, start = [], [0], [], 0
             n = batch.num_rows
