@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import ship, without
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
-#: Training takes some ``PER_LANGUAGE`` documents of each language, four windows of each.
-PER_LANGUAGE, WINDOWS_EACH = 600, 4
-MOST_LANGUAGES = 256
+#: Training takes some ``PER_LANGUAGE`` documents of each language, ``MOST_ROWS`` of all, four windows of each.
+PER_LANGUAGE, MOST_ROWS, WINDOWS_EACH = 600, 24_000, 4
+#: More values of ``lang`` than these are an error: the network has a weight for each.
+MOST_LANGUAGES = 8192
+#: Texts classified at once.
+AT_ONCE = 64
 UNKNOWN = "und"
 
 
@@ -135,56 +140,56 @@ def _training_windows(batches):
                                          names=["lang", "window"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> ByteNet | None:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    Each language keeps rows whose hash falls under ``per_language`` over its count,
-    so about that many, whatever it holds. Rows without language, or without a letter,
-    teach nothing; with no row left there is no model.
+    Each language keeps rows whose hash falls under its share, and always the row of its
+    smallest hash: about ``per_language`` of each, fewer if ``most_rows`` would be passed. So
+    every language of the labels is learned, however rare. Rows without language, or without
+    a letter, teach nothing; with no row left there is no model. Over ``MOST_LANGUAGES``
+    values of ``lang`` raise an error: such a column holds no languages.
     """
     ship(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
+        F.col("lang"), F.col("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)).alias("draw"))
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least"))
+    counts = found.limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return None
-    part = F.create_map(*chain_literals((r["lang"], min(1.0, per_language / r["count"])) for r in counts))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0
-    sampled = (usable.filter(draw < F.element_at(part, F.col("lang")))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    each = min(per_language, most_rows / len(counts))
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], max(int(min(1.0, each / r["n"]) * 2**40), r["least"] + 1)) for r in counts], "lang string, below long")
+    sampled = (usable.join(F.broadcast(shares), "lang").filter("draw < below")
                .select("lang", "text").mapInArrow(_training_windows, "lang string, window binary").collect())
-    if not sampled:
-        return None
     sampled.sort(key=lambda r: (r["lang"], bytes(r["window"])))
     labels = sorted({r["lang"] for r in sampled})
     x = np.frombuffer(b"".join(bytes(r["window"]) for r in sampled), np.uint8).reshape(-1, WINDOW)
-    y = np.array([labels.index(r["lang"]) for r in sampled])
+    number = {lang: k for k, lang in enumerate(labels)}
+    y = np.array([number[r["lang"]] for r in sampled])
     return ByteNet.fit(x, y, labels)
 
 
-def chain_literals(pairs):
-    return [F.lit(v) for pair in pairs for v in pair]
-
-
-def _predictor(shared, names):
-    def predict(batches):
+def _predictor(shared):
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = shared.value
-        tables = net.tables() if net else None
+        tables = net.tables()
         for batch in batches:
             lang, score = [], []
-            for part in range(0, batch.num_rows, 64):
-                texts = [t if ok else None for t, ok in zip(batch.column("_text")[part:part + 64].to_pylist(),
-                                                            batch.column("_letters")[part:part + 64].to_pylist())]
-                whole = [windows(t) for t in texts if t is not None] if net else []
-                summed = []
+            for part in range(0, len(batch), AT_ONCE):
+                texts = batch[part:part + AT_ONCE].to_pylist()
+                whole = [windows(t) for t in texts if t is not None]
+                mean = iter(())
                 if whole:
                     x = np.concatenate([w for w, _ in whole])
                     used = np.concatenate([u for _, u in whole])
                     logs = np.concatenate([net.log_probabilities(x[i:i + 256], tables) for i in range(0, len(x), 256)])
                     starts = np.cumsum([0] + [len(w) for w, _ in whole[:-1]])
                     weights = np.add.reduceat(used, starts)
-                    summed = np.add.reduceat(logs * used[:, None], starts) / weights[:, None]
-                mean = iter(summed)
+                    mean = iter(np.add.reduceat(logs * used[:, None], starts) / weights[:, None])
                 for t in texts:
-                    if t is None or not net:
+                    if t is None:
                         lang.append(UNKNOWN)
                         score.append(0.0)
                         continue
@@ -192,11 +197,11 @@ def _predictor(shared, names):
                     odds = np.exp(m - m.max())
                     lang.append(net.labels[int(m.argmax())])
                     score.append(float(1 / odds.sum()))
-            rest = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*names, "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=["lang_pred", "score"])
 
-    return predict
+    return F.arrow_udf(predict, T.StructType([T.StructField("lang_pred", T.StringType()),
+                                              T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
@@ -205,16 +210,29 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFr
     Every window of a text is classified in batches; the mean of the log
     probabilities, weighted by bytes, decides, and its softmax is the score. Null
     text, text without a letter and a missing model give ``und`` and 0. The network
-    (under 100 KB) is broadcast. Input columns with the added names are replaced.
+    (under 100 KB for some hundred languages) is broadcast. Only the text goes to Python,
+    once, and two values come back. Input columns with the added names are replaced.
     """
+    plain = without(docs, "lang_pred", "score")
+    if net is None:
+        return plain.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    plain = without(docs, "lang_pred", "score", "_text", "_letters")
-    names = plain.columns
-    fields = "".join(f"`{c}` {plain.schema[c].dataType.simpleString()}, " for c in names)
-    return (plain.select("*", F.col(text).alias("_text"),
-                         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-            .mapInArrow(_predictor(shared, names), f"{fields}lang_pred string, score double"))
+    predict = _predictor(docs.sparkSession.sparkContext.broadcast(net))
+    source = F.col(f"`{text}`")
+    found = plain.withColumn("_found", predict(F.when(source.rlike(r"\p{L}"), source)))
+    return found.select(*[F.col(f"`{c}`") for c in plain.columns], "_found.lang_pred", "_found.score")
+
+
+def least_score(docs: DataFrame, net: ByteNet, lost: float = 1e-3) -> float:
+    """The score that all but a share ``lost`` of the rightly labelled held-out documents reach.
+
+    Held-out rows taught the network nothing, so their scores are those of unseen text,
+    whatever the number of languages. An approximate percentile of one pass over them (the
+    smallest score of fewer than 1 / ``lost`` rows);
+    without any such row it is 0, and nothing falls below it.
+    """
+    seen = identify(docs.filter(F.col("lang").isNotNull() & held_out()).select("lang", "text"), net)
+    return seen.filter("lang = lang_pred").agg(F.percentile_approx("score", lost, 10_000)).first()[0] or 0.0
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
