@@ -21,7 +21,7 @@ _END = "\ue000"  # stands for the suffix that marks a word's end
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of words and of token pairs (some 200 bytes each) that a task remembers, and ids or documents that it
 #: hands over at once.
-WORD_BYTES, PAIRS, IDS_OUT, DOCS_OUT = 20_000_000, 60_000, 500_000, 512
+WORD_BYTES, PAIRS, IDS_OUT, DOCS_OUT = 60_000_000, 300_000, 500_000, 512
 
 
 def byte_letters() -> list[str]:

@@ -200,8 +200,9 @@ def _predictor(shared):
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=["lang_pred", "score"])
 
+    # said to be nondeterministic, so that a filter on its values doesn't evaluate it again below
     return F.arrow_udf(predict, T.StructType([T.StructField("lang_pred", T.StringType()),
-                                              T.StructField("score", T.DoubleType())]))
+                                              T.StructField("score", T.DoubleType())])).asNondeterministic()
 
 
 def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
