@@ -228,12 +228,13 @@ def least_score(docs: DataFrame, net: ByteNet, lost: float = 1e-3) -> float:
     """The score that all but a share ``lost`` of the rightly labelled held-out documents reach.
 
     Held-out rows taught the network nothing, so their scores are those of unseen text,
-    whatever the number of languages. An approximate percentile of one pass over them (the
-    smallest score of fewer than 1 / ``lost`` rows);
-    without any such row it is 0, and nothing falls below it.
+    whatever the number of languages. An approximate percentile of one pass over them. Fewer
+    than 1 / ``lost`` rows can't show so rare a score: the bound shrinks with their number, to 0
+    for none.
     """
     seen = identify(docs.filter(F.col("lang").isNotNull() & held_out()).select("lang", "text"), net)
-    return seen.filter("lang = lang_pred").agg(F.percentile_approx("score", lost, 10_000)).first()[0] or 0.0
+    n, least = seen.filter("lang = lang_pred").agg(F.count("*"), F.percentile_approx("score", lost, 10_000)).first()
+    return (least or 0.0) * min(1.0, n * lost)
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
