@@ -7,8 +7,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.operators import enrich, screening, verify
-from vigilake.operators.greedy import greedy_select
+from vigilake.operators import enrich, greedy, screening, verify
+from vigilake.operators.greedy import chain_select, greedy_select
 
 
 def test_greedy_select_equals_sequential_rule(spark):
@@ -36,6 +36,37 @@ def test_greedy_select_with_preselected_nodes(spark):
     assert got == {1: False, 2: True, 3: False}
 
 
+def sequential_chain(n, blocked):
+    kept, last, by = set(), None, {}
+    for i in range(n):
+        if last is not None and (last, i) in blocked:
+            by[i] = last
+        else:
+            kept.add(i)
+            last = i
+    return kept, by
+
+
+@pytest.mark.parametrize("n, reach, share", [(60, 60, 0.7), (5000, 5, 0.5), (400, 3, 0.0), (300, 300, 1.0)])
+def test_chain_select_equals_sequential_rule(spark, monkeypatch, n, reach, share):
+    """Thousands of competing rows of one key settle in rounds that grow with their logarithm."""
+    rng = random.Random(n)
+    blocked = {(a, b) for a in range(n) for b in range(a + 1, min(n, a + 1 + reach)) if rng.random() < share}
+    kept, by = sequential_chain(n, blocked)
+    rounds = []
+    monkeypatch.setattr(greedy, "cut", lambda df, real=greedy.cut: rounds.append(1) or real(df))
+    # a second key with the same rows turned round, and one of a single row
+    rows = [("a", i, i) for i in range(n)] + [("b", n + i, 2 * n - i) for i in range(n)] + [("c", 2 * n, 0)]
+    edges = [(b, a) for a, b in blocked] + [(n + n - 1 - b, n + n - 1 - a) for a, b in blocked]
+    links = spark.createDataFrame(edges, "node int, blocker int")
+    got = chain_select(spark.createDataFrame(rows, "key string, node int, ord int"), links).collect()
+    assert len(got) == len(rows) and len(rounds) < 2 * 15
+    for key, to in (("a", lambda i: i), ("b", lambda i: 2 * n - 1 - i)):
+        assert {r.node for r in got if r.key == key and r.kept} == {to(i) for i in kept}
+        assert {r.node: r.blocker for r in got if r.key == key and not r.kept} == {to(i): to(j) for i, j in by.items()}
+    assert [(r.kept, r.blocker) for r in got if r.key == "c"] == [(True, None)]
+
+
 # --- screening --------------------------------------------------------------
 
 WORDS = ["missile", "drone", "strike", "near", "port", "of", "city", "reported", "five", "killed", "base", "hits"]
@@ -108,6 +139,20 @@ def test_screening_equals_sequential_rule(spark, seed, dates):
     check_screen(spark, random_articles(seed, 60, dates))
 
 
+@pytest.mark.parametrize("options", [{}, {"first_window": 25, "growth": 2}])
+def test_competing_titles_of_one_signature(spark, monkeypatch, options):
+    """Similar titles that compete for one signature are settled as a whole, with and without earlier windows."""
+    rng = random.Random(3)
+    head = "missile strike near the port of the city reported "
+    rows = [(i, head + "".join(rng.choices("abcdefghijklmnop", k=40)), "Gaza", ("2026-03-10", "2026-03-11")[i % 5 == 0], "src", "x")
+            for i in range(70)]
+    rows += [(100 + r[0], *r[1:]) for r in random_articles(5, 20, ["2026-03-10"])]
+    chains = []
+    monkeypatch.setattr(screening, "chain_select", lambda *a, real=chain_select: chains.append(1) or real(*a))
+    got = check_screen(spark, rows, **options)
+    assert chains and "duplicate" in got.values()
+
+
 def test_screening_in_small_windows(spark):
     check_screen(spark, random_articles(7, 50, ["2026-03-10", "2026-03-11", "2026-03-12"]), first_window=15, growth=2)
 

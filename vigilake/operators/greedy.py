@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.session import cut
@@ -55,3 +55,45 @@ def greedy_select(nodes: DataFrame, edges: DataFrame, preselected: DataFrame | N
         live = cut(live.join(settled.filter(~F.col("kept")).select(F.col("node").alias("blocker")),
                              "blocker", "left_anti")
                    .join(settled.select("node"), "node", "left_anti"))
+
+
+def chain_select(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Keep a row unless the *last kept* row of its key blocks it: ``key, node, kept, blocker``.
+
+    ``rows`` has ``key``, ``node`` (unique) and ``ord`` (unique inside a key); ``edges`` has ``node``
+    and ``blocker``, an earlier row of the same key that blocks it. ``blocker`` of the result is
+    the kept row that blocks a row, null for kept ones.
+
+    If a row is kept, the next kept one is the first behind it that it does not block: one
+    behind the unbroken run of rows it blocks. So the kept rows are the chain of these
+    pointers from the first row of a key. Pointers double in every round and each round marks
+    what marked rows point at, so a chain of n rows is found in log2(n) rounds, not n. The
+    result equals the one-by-one rule. Each round is checkpointed; the driver sees a number.
+    """
+    ranked = cut(rows.select("key", "node", F.row_number().over(Window.partitionBy("key").orderBy("ord")).alias("rank")))
+    behind = ranked.select(F.col("node").alias("blocker"), F.col("rank").alias("from"))
+    placed = cut(edges.select("node", "blocker").distinct().join(ranked, "node").join(behind, "blocker")
+                 .select("key", "node", "blocker", "rank", "from"))
+    nth = F.row_number().over(Window.partitionBy("blocker").orderBy("rank"))
+    runs = placed.withColumn("_nth", nth).filter(F.col("rank") - F.col("from") == F.col("_nth")).groupBy(
+        F.col("blocker").alias("node")).agg(F.count("*").alias("run"))
+    ahead = ranked.join(runs, "node", "left").select(
+        "key", "rank", (F.col("rank") + 1 + F.coalesce("run", F.lit(0))).alias("to"))
+    last = ranked.groupBy("key").agg(F.max("rank").alias("last"))
+    jump = cut(ahead.join(last, "key").filter("to <= last").select("key", "rank", "to"))
+    marked, seen = cut(ranked.filter("rank = 1").select("key", "rank")), -1
+    while True:
+        reached = marked.join(jump, ["key", "rank"]).select("key", F.col("to").alias("rank"))
+        marked = cut(marked.unionByName(reached).distinct())
+        count = marked.count()
+        if count == seen:
+            break
+        seen = count
+        onward = jump.select("key", F.col("rank").alias("to"), F.col("to").alias("beyond"))
+        jump = cut(jump.join(onward, ["key", "to"]).select("key", "rank", F.col("beyond").alias("to")))
+    out = ranked.join(marked.withColumn("kept", F.lit(True)), ["key", "rank"], "left").withColumn(
+        "kept", F.coalesce("kept", F.lit(False)))
+    # the kept row that blocks a row is the only one before it whose next kept row is not
+    reach = ahead.join(marked, ["key", "rank"]).withColumnRenamed("rank", "from")
+    by = placed.join(reach, ["key", "from"]).filter(F.col("rank") < F.col("to")).select("node", "blocker")
+    return out.join(by, "node", "left").select("key", "node", "kept", "blocker")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.match import once
 from vigilake.operators.enrich import confidence, recap_score, signature
+from vigilake.operators.greedy import chain_select
 from vigilake.operators.similarity import blocked_pairs, could_reach, letter_counts, similarity
 from vigilake.session import cut
 
@@ -206,6 +207,8 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
     cols = ["seq", "cls", "t", "l", "signature"]
     alive, kept, lost = window, None, None
     ordered = not dup.isEmpty()
+    if ordered:
+        alive, kept, lost = _settle_chains(window, near, dup, kept_before)
     while True:
         first = alive.groupBy("cls").agg(F.min_by(F.struct("seq", "t", "l", "signature", "contested"), "seq")
                                          .alias("f")).select("cls", "f.*")
@@ -252,6 +255,36 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
         kept = won if kept is None else kept.unionByName(won)
 
 
+def _settle_chains(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: DataFrame | None):
+    """What is left of the window, and the verdicts of all rows of contested signatures on
+    which nothing but the last accepted one bears: no class of them has a near edge or a
+    second row here. Such a signature is settled as a whole, however many rows compete."""
+    cols = ["seq", "cls", "t", "l", "signature"]
+    rows = window.filter("contested").select(*cols)
+    touched = near.select(F.col("new").alias("cls")).union(near.select(F.col("old").alias("cls"))).union(
+        window.groupBy("cls").agg(F.count("*").alias("_n")).filter("_n > 1").select("cls")).distinct()
+    mixed = rows.join(touched, "cls", "left_semi").select("signature").distinct()
+    quiet = cut(rows.join(mixed, "signature", "left_anti"))
+    if quiet.isEmpty():
+        return window, None, None
+    heads = quiet.select("signature").distinct()
+    nodes = quiet.select("signature", "cls", "seq")
+    if kept_before is not None:
+        starts = kept_before.join(heads, "signature", "left_semi").groupBy("signature").agg(
+            F.max(F.struct("seq", "cls")).alias("s"))
+        nodes = nodes.unionByName(starts.select("signature", F.col("s.cls").alias("cls"), F.col("s.seq").alias("seq")))
+    nodes = cut(nodes)
+    pairs = cut(dup.join(nodes.withColumnRenamed("cls", "new"), ["signature", "new"])
+                .join(nodes.toDF("signature", "old", "p_seq"), ["signature", "old"]).filter("p_seq < seq")
+                .select(F.col("seq").alias("node"), F.col("p_seq").alias("blocker"), "sim"))
+    found = cut(chain_select(nodes.select(F.col("signature").alias("key"), F.col("seq").alias("node"),
+                                          F.col("seq").alias("ord")), pairs))
+    kept = cut(quiet.join(found.filter("kept").select(F.col("node").alias("seq")), "seq", "left_semi").select(*cols))
+    lost = cut(found.filter("not kept").join(pairs, ["node", "blocker"]).select(
+        F.col("node").alias("seq"), F.col("blocker").alias("matched_seq"), "sim"))
+    return cut(window.join(quiet.select("seq"), "seq", "left_anti").select(*window.columns)), kept, lost
+
+
 def _verdicts(prepared: DataFrame, kept: DataFrame, links: DataFrame, dup_lost: DataFrame) -> DataFrame:
     """Earliest accepted article each rejected one matches, joined back."""
     accepted = kept.select(F.col("seq").alias("k_seq"), F.col("cls").alias("k_cls"),
