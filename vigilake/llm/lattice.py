@@ -131,11 +131,15 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, **options) -
     probes = placed.select("cell", F.col("vec_id").alias("b"))
     met = (homes.join(probes, "cell").filter("a <> b")
            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    known = vectors.select("vec_id", "embedding", norm.alias("norm"))
+    # by a power of two near the largest component: exact, and no square leaves the range of doubles
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = vectors.select("vec_id", "embedding", F.pow(F.lit(2.0), F.floor(F.log2(most))).alias("_by")).select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_by")).alias("embedding"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    known = scaled.select("vec_id", "embedding", norm.alias("norm"))
     left = known.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), F.col("norm").alias("na"))
     right = known.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")),
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y),
                       F.lit(0.0), lambda s, x: s + x)
     return (met.join(left, "a").join(right, "b")
             .filter(F.size("va") == F.size("vb")).filter(dot / (F.col("na") * F.col("nb")) >= threshold)
