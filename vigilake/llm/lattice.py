@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.match import once
 from vigilake.llm.common import components, ship
 from vigilake.session import cut
 
@@ -133,7 +134,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, **options) -
            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # by a power of two near the largest component: exact, and no square leaves the range of doubles
     most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    scaled = vectors.select("vec_id", "embedding", F.pow(F.lit(2.0), F.floor(F.log2(most))).alias("_by")).select(
+    scaled = once(vectors.select("vec_id", "embedding"), _by=F.pow(F.lit(2.0), F.floor(F.log2(most)))).select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("_by")).alias("embedding"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     known = scaled.select("vec_id", "embedding", norm.alias("norm"))
