@@ -309,6 +309,13 @@ def _(spark, d):
     return enrich.event_ids(enrich.with_ids(incidents(spark, d)), AS_OF).select("id", "incident_id", "event_id")
 
 
+@query("event_id_numbers", "P15", with_views(
+    f"SELECT id, 'EV-' || CAST(epoch_ms(CAST({q(AS_OF)} AS TIMESTAMP)) AS VARCHAR) || '-' || "
+    "CASE WHEN length(CAST(seq AS VARCHAR)) >= 4 THEN CAST(seq AS VARCHAR) ELSE lpad(CAST(seq AS VARCHAR), 4, '0') END AS event_id FROM incidents"))
+def _(spark, d):
+    return enrich.event_ids(incidents(spark, d), AS_OF).select("id", "event_id")
+
+
 @query("normalized_text", "P16", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]', '', 'g'))) AS unicode_form, "
        "md5(trim(replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '  ', ' '))) AS ascii_form FROM documents")
 def _(spark, d):
@@ -397,6 +404,17 @@ def _(spark, d):
     return enrich.hashtags(table(spark, d, "documents"), "text").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
+#: A landed post marks its long words with a hash sign.
+_TAGGED = r"(^| )(\w{9,})"
+
+
+@query("tagged_posts", "P23", "SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(post, '#(\\w+)', 1)) AS tag FROM "
+       f"(SELECT doc_id, regexp_replace(text, {q(_TAGGED)}, '\\1#\\2', 'g') AS post FROM documents)) GROUP BY 1, 2")
+def _(spark, d):
+    posts = table(spark, d, "documents").withColumn("post", F.regexp_replace("text", _TAGGED, "$1#$2"))
+    return enrich.hashtags(posts, "post").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+
+
 @query("source_profile", "P24", with_views(
     "SELECT id, coalesce(p.reliability, 0.5) AS reliability, coalesce(p.bias, 'unknown') AS bias, coalesce(p.c, 'unknown') AS source_country FROM incidents LEFT JOIN "
     f"(SELECT name, c, CAST(reliability AS DOUBLE) AS reliability, bias FROM {values_sql(dims.SOURCE_PROFILES, 'v', ['name', 'c', 'reliability', 'bias'])}) p ON p.name = source"))
