@@ -2,8 +2,9 @@
 
 import datetime
 import random
+import time
 
-from vigilake.operators import patterns
+from vigilake.operators import filters, patterns
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -24,3 +25,16 @@ def test_followups_are_spread_and_equal_to_all_pairs(spark, monkeypatch, tmp_pat
     want = sorted((a, b) for a, ca, _, ta in rows for b, cb, _, tb in rows
                   if ca == cb and (ta, a) < (tb, b) and tb - ta <= day)
     assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == want
+
+
+def test_long_lexicon_takes_one_scan_of_a_long_text(spark):
+    long = "".join(chr(97 + i * i % 23) for i in range(200_000))
+    texts = ["Oil\nDROP", "a\U0001f680bc", "bc", None, "", "xyz", long + " Zz9", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = ["il\nd", "\U0001f680b", "z", "zz9", "bcd", None, "q" * 50]
+    start = time.perf_counter()
+    held = filters.holding_any(docs, spark.createDataFrame([(w,) for w in words], "keyword string"), "text").collect()
+    assert sorted(r["id"] for r in held) == [0, 1, 5, 6]
+    assert time.perf_counter() - start < 40
+    everything = spark.createDataFrame([("",)], "keyword string")
+    assert filters.holding_any(docs, everything, "text").count() == len(texts) - 1

@@ -53,13 +53,11 @@ def holding_any(df: DataFrame, words: DataFrame, col: str) -> DataFrame:
     """
     lowered = once(df, _text=F.lower(F.col(col)))
     texts = lowered.select(F.md5("_text").alias("_key"), "_text").dropna().dropDuplicates(["_key"])
-    places = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
-
-    def pieces(size: int) -> Column:
-        return F.transform(places, lambda i: F.substr(F.col("_text"), i, F.lit(size)))
-
-    sizes = [pieces(n) for n in range(1, GRAM + 1)]
-    grams = texts.select("_key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *sizes))).alias("_gram"))
+    # one scan per text, the letters at each place and behind it; a substring by number would count from the start each time
+    longest = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
+    sizes = [F.array_distinct(F.transform("_long", lambda g: F.substring(g, 1, n))) for n in range(1, GRAM)]
+    grams = once(texts, _long=longest).select("_key", F.explode(F.array_distinct(F.concat(
+        F.array(F.lit("")), *sizes, F.col("_long")))).alias("_gram"))
     known = words.select("keyword").dropna().distinct().withColumn("_gram", F.substring("keyword", 1, GRAM))
     near = grams.join(known, "_gram").select("_key", "keyword").distinct()
     held = near.join(texts, "_key").filter(F.col("_text").contains(F.col("keyword"))).select("_key").distinct()
