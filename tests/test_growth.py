@@ -3,8 +3,11 @@
 import datetime
 import random
 import time
+from difflib import SequenceMatcher
 
-from vigilake.operators import filters, patterns
+from pyspark.sql import functions as F
+
+from vigilake.operators import filters, patterns, screening, similarity, verify
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -38,3 +41,54 @@ def test_long_lexicon_takes_one_scan_of_a_long_text(spark):
     assert time.perf_counter() - start < 40
     everything = spark.createDataFrame([("",)], "keyword string")
     assert filters.holding_any(docs, everything, "text").count() == len(texts) - 1
+
+
+def test_ratio_is_that_of_the_sequence_matcher_and_faster(spark):
+    rng = random.Random(2)
+    words = "missile strike drone base port a of the near é 🚀 killed soldiers wounded over".split()
+    pairs = [(" ".join(rng.choices(words, k=rng.randrange(9))), " ".join(rng.choices(words, k=rng.randrange(9))))
+             for _ in range(1500)]
+    pairs += [("".join(rng.choices("ab", k=rng.choice((0, 3, 40, 199, 200, 260)))),
+               "".join(rng.choices("ab", k=rng.choice((0, 3, 40, 199, 200, 260))))) for _ in range(150)]
+    start = time.perf_counter()
+    want = [SequenceMatcher(None, p, q).ratio() for p, q in pairs[:1500]]
+    slow = time.perf_counter() - start
+    want += [SequenceMatcher(None, p, q).ratio() for p, q in pairs[1500:]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, p string, q string")
+    got = df.select("i", similarity.ratio(F.col("p"), F.col("q")).alias("r")).collect()
+    assert [r["r"] for r in sorted(got)] == want
+    blocks = similarity.matcher()
+    start = time.perf_counter()
+    assert [blocks(p, q) for p, q in pairs[:1500]] == want[:1500]
+    assert time.perf_counter() - start < slow * 0.8
+
+
+def test_rows_of_a_class_meet_its_first_sure_leader_only(spark):
+    at = datetime.datetime(2024, 1, 1)
+    title = "missile strike hits the base near the old port of the city"
+    rows = [(i, i, title + (f" {chr(97 + i)}" if i < 8 else ""), at - datetime.timedelta(hours=i), "Iran", "Tehran")
+            for i in range(30)]
+    placed = verify.grouping_rows(spark.createDataFrame(
+        rows, "id long, seq long, title string, published timestamp_ntz, country string, city string"))
+    leaders = placed.filter("id < 8")
+    edges = verify.class_edges(leaders.select("cls", "t", "loc", "kind"), placed.select("cls", "t", "loc", "kind").distinct(),
+                               0.75, "levenshtein")
+    found = verify._absorbed(placed, edges, leaders, 0.75).collect()
+    assert {(r["id"], r["group_id"]) for r in found} == {(i, 0) for i in range(1, 30)}
+    assert len(found) == 29
+
+
+def test_a_signature_refuses_its_copies_at_once(spark, monkeypatch):
+    """Rounds follow the accepted rows: 150 copies of similar titles on one day are no 150 rounds."""
+    head = "missile strike near the port of the city reported by "
+    rows = [(i, head + ("officials", "residents", "witnesses", "officials 2")[i % 4 if i else 0], "Gaza", "2026-03-10", "src", "x")
+            for i in range(150)]
+    rows += [(200, "drone attack reported in Gaza", "Gaza", "2026-03-10", "src", "x")]
+    df = spark.createDataFrame(rows, "seq long, title string, location string, date string, source string, content string")
+    rounds = []
+    monkeypatch.setattr(screening, "cut", lambda x, real=screening.cut: rounds.append(1) or real(x))
+    found = screening.screen_articles(df, metric="levenshtein").select("seq", "status", "matched_seq").collect()
+    assert len(rounds) < 60
+    assert {r["seq"]: r["status"] for r in found} == {
+        i: "accepted" if i in (0, 200) else "duplicate" for i in (*range(150), 200)}
+    assert {r["matched_seq"] for r in found if r["status"] == "duplicate"} == {0}
