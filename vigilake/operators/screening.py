@@ -201,15 +201,24 @@ def screen_articles(articles: DataFrame, history: DataFrame | None = None, metri
 
 
 def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: DataFrame | None):
-    """Rounds inside one window. In each, the first undecided row of a class is
-    decided once no undecided earlier row can reach it: by a near edge, or, in a
-    contested signature, by being the last accepted one."""
+    """Rounds inside one window. In each, a contested signature first refuses at once the
+    unbroken run of undecided rows that its last accepted row is too like: nothing of that
+    run can become the last accepted one. Then the first undecided row of a class is
+    accepted if no undecided earlier row can reach it: by a near edge, or, in a contested
+    signature, by coming first. So rounds follow the accepted rows, not the refused ones."""
     cols = ["seq", "cls", "t", "l", "signature"]
-    alive, kept, lost = window, None, None
+    alive, kept, lost, last = window, None, None, None
     ordered = not dup.isEmpty()
     if ordered:
         alive, kept, lost = _settle_chains(window, near, dup, kept_before)
+        for accepted in (kept_before, kept):
+            last = last if accepted is None else _last(last, accepted.join(
+                alive.filter("contested").select("signature").distinct(), "signature", "left_semi"))
     while True:
+        if ordered and last is not None:
+            refused = cut(_refused(alive, last, dup))
+            lost = refused if lost is None else lost.unionByName(refused)
+            alive = alive.join(refused.select("seq"), "seq", "left_anti")
         first = alive.groupBy("cls").agg(F.min_by(F.struct("seq", "t", "l", "signature", "contested"), "seq")
                                          .alias("f")).select("cls", "f.*")
         seqs = first.select("cls", "seq")
@@ -228,31 +237,33 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
             return (kept if kept is not None else empty,
                     lost if lost is not None else window.select("seq", F.col("seq").alias("matched_seq"),
                                                                 F.lit(0.0).alias("sim")).limit(0))
-        pool = [k for k in (kept_before, kept) if k is not None]
-        if pool and ordered:
-            earlier = pool[0] if len(pool) == 1 else pool[0].unionByName(pool[1])
-            last = (
-                ready.filter("contested").select("seq", "cls", "signature")
-                .join(earlier.select(F.col("seq").alias("p_seq"), F.col("cls").alias("p_cls"), "signature"), "signature")
-                .filter(F.col("p_seq") < F.col("seq"))
-                .groupBy("seq", "cls", "signature").agg(F.max(F.struct("p_seq", "p_cls")).alias("p"))
-            )
-            refused = cut(last.join(dup, (last["signature"] == dup["signature"]) & (last["cls"] == dup["new"])
-                                    & (F.col("p.p_cls") == dup["old"])).select(
-                "seq", F.col("p.p_seq").alias("matched_seq"), "sim").distinct())
-        else:
-            refused = None
         won = ready.select(*cols)
-        if refused is not None:
-            won = cut(won.join(refused.select("seq"), "seq", "left_anti").select(*cols))
-            lost = refused if lost is None else lost.unionByName(refused)
-            alive = alive.join(refused.select("seq"), "seq", "left_anti")
         reached = near.join(won.select(F.col("cls").alias("old"), F.col("seq").alias("k_seq")), "old").groupBy(
             F.col("new").alias("cls")).agg(F.min("k_seq").alias("k_seq"))
         alive = cut(
             alive.join(won.select("cls"), "cls", "left_anti").join(reached, "cls", "left")
             .filter(F.col("k_seq").isNull() | (F.col("seq") < F.col("k_seq"))).select(*window.columns))
         kept = won if kept is None else kept.unionByName(won)
+        if ordered:
+            last = _last(last, ready.filter("contested"))
+
+
+def _last(last: DataFrame | None, accepted: DataFrame) -> DataFrame:
+    """The last accepted row of every signature: ``signature, p`` with its seq and class."""
+    rows = accepted.select("signature", F.struct("seq", "cls").alias("p"))
+    rows = rows if last is None else rows.unionByName(last)
+    return cut(rows.groupBy("signature").agg(F.max("p").alias("p")))
+
+
+def _refused(alive: DataFrame, last: DataFrame, dup: DataFrame) -> DataFrame:
+    """``seq, matched_seq, sim`` of the undecided rows before the first of their signature that
+    the last accepted row of the signature lets through."""
+    rows = alive.filter("contested").select("seq", "cls", "signature")
+    last = last.select("signature", F.col("p.seq").alias("matched_seq"), F.col("p.cls").alias("old"))
+    alike = rows.join(last, "signature").join(dup.withColumnRenamed("new", "cls"), ["signature", "cls", "old"], "left")
+    through = alike.filter("sim IS NULL").groupBy("signature").agg(F.min("seq").alias("stop"))
+    return alike.filter("sim IS NOT NULL").join(through, "signature", "left").filter(
+        "stop IS NULL OR seq < stop").select("seq", "matched_seq", "sim").distinct()
 
 
 def _settle_chains(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: DataFrame | None):
@@ -298,6 +309,8 @@ def _verdicts(prepared: DataFrame, kept: DataFrame, links: DataFrame, dup_lost:
     lost = dup_lost.select("seq", F.col("matched_seq").alias("d_seq"), F.col("sim").alias("d_sim"))
     joined = prepared.join(best, "cls", "left").join(lost, "seq", "left")
     near = F.col("m").isNotNull() & (F.col("m.k_seq") < F.col("seq"))
+    # a row may be refused by its signature before the earlier row that is near to it is accepted
+    joined = joined.withColumn("d_seq", F.when(~F.coalesce(near, F.lit(False)), F.col("d_seq")))
     status = (
         F.when(F.col("recap_dropped"), "recap")
         .when(F.col("d_seq").isNotNull(), "duplicate")
@@ -310,7 +323,7 @@ def _verdicts(prepared: DataFrame, kept: DataFrame, links: DataFrame, dup_lost:
         out.withColumn("matched_seq", F.when(matched, F.coalesce("d_seq", "m.k_seq")))
         .withColumn("matched_seq", F.when(F.col("matched_seq") < 0, F.col("matched_seq") + BEFORE_ALL)
                     .otherwise(F.col("matched_seq")))
-        .withColumn("similarity", F.when(matched, F.coalesce("d_sim", "m.sim")))
+        .withColumn("similarity", F.when(matched, F.when(F.col("d_seq").isNotNull(), F.col("d_sim")).otherwise(F.col("m.sim"))))
         .drop("m", "d_seq", "d_sim", "t", "l", "cls")
     )
 
