@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from itertools import chain
+from array import array
 from operator import itemgetter
 
 import ahocorasick
@@ -19,8 +19,8 @@ from vigilake.llm.common import ship, without
 _END = "\ue000"  # stands for the suffix that marks a word's end
 #: The Unicode characters with the property White_Space.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bytes of words and of token pairs (some 200 bytes each) that a task remembers, and ids or documents that it
-#: hands over at once.
+#: Bytes of words that a task remembers, token pairs (some 100 bytes each) that a worker remembers, and ids or
+#: documents that a task hands over at once.
 WORD_BYTES, PAIRS, IDS_OUT, DOCS_OUT = 60_000_000, 300_000, 500_000, 512
 
 
@@ -45,33 +45,43 @@ class WordBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in bpe["merges"]]
         self.ranks = {(inner(a), inner(b)): r for r, (a, b) in enumerate(merges)}
         self.tokens = {inner(t): i for t, i in bpe["vocab"].items()}
-        self.letters = byte_letters()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for token in self.tokens:
+        for token, i in self.tokens.items():
             if self.merged(token) == [token]:  # else no merge order ever yields it
-                self.automaton.add_word(token, token)
+                self.automaton.add_word(token, (len(token), i, token))
         self.automaton.make_automaton()
 
-    def merged(self, word: str) -> list[str]:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
-        parts = list(word)
+    def merged(self, word: str, mid: int = 0) -> list[str]:
+        """Merge the pair of lowest rank, leftmost first, until none is left or one spans the place ``mid``."""
+        parts, rank_of = list(word), self.ranks.get
         if len(parts) > 1 and parts[-1] == _END:
             parts[-2:] = [parts[-2] + _END]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
+        found = [rank_of(p, 1 << 30) for p in zip(parts, parts[1:])]
+        while found:
+            rank = min(found)
             if rank == 1 << 30:
                 break
+            at = found.index(rank)
+            if at == mid - 1:
+                break
+            if at < mid:
+                mid -= 1
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = rank_of((parts[at - 1], parts[at]), 1 << 30)
+            if at < len(found):
+                found[at] = rank_of((parts[at], parts[at + 1]), 1 << 30)
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether encoding both together gives these two tokens again."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+    def compatible(self, left: str, right: str, pair: int) -> bool:
+        """Whether encoding both together gives these two tokens again; kept under the number of the pair."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        parts = self.merged(left + right, len(left))
+        known = self.fits[pair] = parts == [left, right] and (left, right) not in self.ranks
         return known
 
     def encode(self, word: str) -> list[int]:
@@ -81,55 +91,75 @@ class WordBpe:
         unique: the token that ends there and is compatible with the last token of
         what precedes it. The automaton yields all tokens that end at a place.
         """
-        n = len(word)
-        last: list[str | None] = [None] * (n + 2)
+        n, fits = len(word), self.fits
+        last: list[tuple[int, int, str] | None] = [None] * (n + 2)
         for end, token in self.automaton.iter(word + _END):
             end += 1
             if last[end] is None and end != n:
-                start = end - len(token)
-                before = last[start]
-                if not start or before is not None and self.compatible(before, token):
-                    last[end] = token
+                size, i, name = token
+                if end > size:
+                    before = last[end - size]
+                    if before is None:
+                        continue
+                    pair = before[1] << 32 | i
+                    known = fits.get(pair)
+                    if known is None:
+                        known = self.compatible(before[2], name, pair)
+                    if not known:
+                        continue
+                last[end] = token
         ids, at = [], n + 1
         while at:
-            token = last[at]
-            ids.append(self.tokens[token])
-            at -= len(token)
+            size, i, _ = last[at]
+            ids.append(i)
+            at -= size
         return ids[::-1]
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class TextBpe(dict):
-    """Words to (ids, decoded word); missing words are encoded, all are forgotten at ``WORD_BYTES``."""
+    """Words to (packed ids, decoded word); missing words are encoded. At half of ``WORD_BYTES`` the words become
+    the older half, those of the former older half that were not met again are forgotten."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.size = 0
+        self.older: dict[str, tuple] = {}
         self.words = WordBpe(vocabulary)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.words.specials)) + ")")
         self.pieces = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACES + r"\p{L}\p{N}]+")
 
     def __missing__(self, word):
-        letters = self.words.letters
-        ids = self.words.encode("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
-        ids = tuple(ids)
-        found = ids, " ".join([self.words.names[i] for i in ids])
+        found = self.older.get(word)
+        if found is None:
+            plain = word
+            if not (word.isascii() and word.isalnum()):  # else its bytes stand for themselves
+                plain = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.words.letters)
+            ids = self.words.encode(plain)
+            found = pack(ids), " ".join([self.words.names[i] for i in ids])
         if len(word) < 64:
-            self.size += 350 + 3 * len(word) + 8 * len(ids)  # as Python keeps a word, its ids and its decoded form
-            if self.size > WORD_BYTES:
-                self.forget()
+            self.size += 350 + 3 * len(word) + 2 * len(found[0])  # as Python keeps a word, its ids and its decoded form
+            if self.size > WORD_BYTES // 2:
+                self.older = dict(self)
+                self.clear()
+                self.size = 0
             self[word] = found
         return found
 
     def forget(self):
         self.clear()
+        self.older = {}
         self.size = 0
 
     def found(self, text: str) -> list[tuple]:
         out = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
             if k % 2:
-                out.append(((self.words.specials[part],), part))
+                out.append((pack([self.words.specials[part]]), part))
             else:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -156,26 +186,27 @@ def _coder(shared, names):
         model = _model(shared)
         try:
             yield from coded(model, batches)
-        finally:  # the worker lives on, and may serve other work
+        finally:  # the worker lives on, and may serve other work; its pairs serve the next task
             model.forget()
-            model.words.fits.clear()
             pa.default_memory_pool().release_unused()
 
     def coded(model, batches):
         for batch in batches:
-            flat, ends, decoded, start = [], [0], [], 0
+            flat, ends, decoded, start, total = [], [0], [], 0, 0
             n = batch.num_rows
             for row, text in enumerate(batch.column("_text")):
                 found = model.found(text.as_py() or "")
-                flat.extend(chain.from_iterable(map(ids_of, found)))
-                ends.append(len(flat))
+                packed = b"".join(map(ids_of, found))
+                total += len(packed) // 4
+                flat.append(packed)
+                ends.append(total)
                 decoded.append(" ".join(map(word_of, found)))
-                if len(flat) > IDS_OUT or len(decoded) >= DOCS_OUT or row == n - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                if total > IDS_OUT or len(decoded) >= DOCS_OUT or row == n - 1:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                     rest = [batch.column(c).slice(start, row + 1 - start) for c in names]
                     yield pa.RecordBatch.from_arrays([*rest, ids, pa.array(decoded, pa.string())],
                                                      names=[*names, "ids", "decoded"])
-                    flat, ends, decoded, start = [], [0], [], row + 1
+                    flat, ends, decoded, start, total = [], [0], [], row + 1, 0
 
     return run
 
