@@ -33,7 +33,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id.
+
+    The covering search of ``op10_simhash`` finds what its radius reaches; an exact check follows, and prefix
+    filtering finds the rest.
+    """
     return nearcopies.one_of_each(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering."""
+"""Near copies by exact Jaccard similarity of word shingles, found by covering search, then by prefix filtering."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilake.llm import covering
 from vigilake.llm.common import components, ship, without
 from vigilake.llm.covering import BLOCK, SEED
 from vigilake.session import cut, fresh_path
@@ -247,6 +248,27 @@ def _led(rooted: DataFrame, turn: int, similarity: float) -> DataFrame:
             .agg(F.count("*").alias("met"), F.max(_need(n, m, similarity)).alias("need")))
 
 
+def _near_prints(prints: DataFrame, block: int) -> DataFrame:
+    """Pairs ``a, b`` of classes whose fingerprints (``fp, class``) the covering search of ``covering`` links.
+
+    Classes of one fingerprint meet its smallest, and the smallest ones meet along the links of their
+    fingerprints: a few pairs a class, whatever the size of a group.
+    """
+    lead = cut(prints.groupBy("fp").agg(F.min("class").alias("lead")))
+    ends = [lead.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("a", "b")]
+    across = covering.links(lead.select("fp"), block=block).join(ends[0], "a").join(ends[1], "b")
+    pairs = prints.join(lead, "fp").select(F.col("lead").alias("x"), F.col("class").alias("y")).unionByName(
+        across.select(F.col("a_lead").alias("x"), F.col("b_lead").alias("y")))
+    return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are not connected yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("class").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+
+
 def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
                       block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``class, first`` for each distinct set of shingles, and edges ``a, b`` between similar classes.
@@ -254,9 +276,10 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     Two sets at ``similarity`` or more share one of their rarest shingles, so every
     such pair meets there; each edge is confirmed on the whole sets, sent only for pairs
     whose marks, some thirtieth of their size, don't rule it out already, and the edges
-    connect all classes that similar pairs connect. First each class is compared
-    with the smallest one that shares such a shingle, then, in rounds, with the first
-    in an order of that round if the two are not connected yet. When a round connects
+    connect all classes that similar pairs connect. First the classes meet whose SimHash
+    fingerprints the covering search links; its radius misses pairs near ``similarity``, so
+    what is not connected by then goes on: each class is compared with the smallest one
+    that shares such a shingle, then, in rounds, with the first in an order of that round. When a round connects
     few, those still apart are compared in blocks two by two: a large group of near
     copies costs a few pairs a member, also where its first member is unlike most.
     """
@@ -278,7 +301,8 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
         T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))]))
     whole = _shingle_sets(size)
     keyed = _keyed(docs.select("doc_id", "text"))
-    rows = _written(keyed.select(*KEYS, posted("text").alias("s")).select(*KEYS, "s.*"))
+    rows = _written(covering.add_fingerprint(keyed, shingle=size).select(*KEYS, "fp", posted("text").alias("s"))
+                    .select(*KEYS, "fp", "s.*"))
     classes = cut(rows.groupBy("class").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first")))
     firsts = classes.select("class", *[F.col(f"first.{c}").alias(c) for c in KEYS])
     bucket = Window.partitionBy("h")
@@ -308,9 +332,11 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     often = to_lead.groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(
         F.count("*").alias("met"), F.max(_need(F.col("n"), F.col("lead_n"), similarity)).alias("need"))
     likely = "2 * met >= need"  # of the rest, those still apart meet again below
-    tried = cut(often.filter(likely).select("a", "b"))
+    links = confirmed(cut(_near_prints(rows.select("fp", "class").distinct(), block)))
+    roots = components(links).select(F.col("node").alias("class"), "root")
+    tried = cut(_apart(often.filter(likely).select("a", "b"), roots))
     found = confirmed(tried)
-    links, places, turn = found, shared.drop("lead", "lead_n", "lead_at"), 0
+    links, places, turn = cut(links.unionByName(found)), shared.drop("lead", "lead_n", "lead_at"), 0
     while True:
         roots = components(links).select(F.col("node").alias("class"), "root")
         rooted = places.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
