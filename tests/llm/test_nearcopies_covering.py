@@ -25,3 +25,9 @@ def test_stage_goes_through_the_covering_search(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == brute(rows) == list(range(0, 48, 8))
     assert sorted(searched) == sorted(covering._signed(f) for f in near)
     assert tried[0].count() < len(near)
+
+
+def test_common_shingles_are_learned_from_a_share_of_all_texts(spark):
+    rows = [(i, f"one passage that all the texts hold and then {i} {i + 1} {i + 2}", "en", "a") for i in range(600)]
+    found, often = nearcopies.common_shingles(documents(spark, rows), sample=5)
+    assert len(found) and often.max() > 20  # 5 texts of 600 show no more than some 5

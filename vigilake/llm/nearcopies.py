@@ -19,8 +19,9 @@ from vigilake.session import cut, fresh_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts that common shingles are learned from, and how many of these are kept. Only speed hangs on either.
-SAMPLE, MOST_COMMON = 5_000, 200_000
+#: Texts that common shingles are learned from, at least and as a share of all, and how many of these are kept.
+#: Only speed hangs on them; by the share, texts that share a shingle not found common stay few at any size.
+SAMPLE, SHARE, MOST_COMMON = 5_000, 0.1, 200_000
 #: Texts whose keys are sent to every task, so that no other text moves to be compared.
 MOST_SENT = 500_000
 #: A round of leads is followed by another if it links at least one in so many of the pairs it compares.
@@ -98,9 +99,9 @@ def _shingle_sets(size: int):
 
 def common_shingles(docs: DataFrame, size: int = SHINGLE, sample: int = SAMPLE,
                     most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that occur in three or more of about ``sample`` texts, and how often."""
+    """Sorted shingles that occur in three or more of about ``sample`` texts, or ``SHARE`` of all if more, and how often."""
     rows = docs.count()
-    some = docs if rows <= sample else docs.sample(sample / rows, seed=SEED)
+    some = docs if rows <= sample else docs.sample(max(SHARE, sample / rows), seed=SEED)
 
     of = _shingle_sets(size)
     top = (some.select(F.explode(of("text")).alias("h")).groupBy("h").count().filter("count > 2")
@@ -332,11 +333,13 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     often = to_lead.groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(
         F.count("*").alias("met"), F.max(_need(F.col("n"), F.col("lead_n"), similarity)).alias("need"))
     likely = "2 * met >= need"  # of the rest, those still apart meet again below
-    links = confirmed(cut(_near_prints(rows.select("fp", "class").distinct(), block)))
+    near = cut(_near_prints(rows.select("fp", "class").distinct(), block))
+    links = confirmed(near)
     roots = components(links).select(F.col("node").alias("class"), "root")
     tried = cut(_apart(often.filter(likely).select("a", "b"), roots))
-    found = confirmed(tried)
-    links, places, turn = cut(links.unionByName(found)), shared.drop("lead", "lead_n", "lead_at"), 0
+    links = cut(links.unionByName(confirmed(tried)))
+    found, tried = links, near.unionByName(tried)
+    places, turn = shared.drop("lead", "lead_n", "lead_at"), 0
     while True:
         roots = components(links).select(F.col("node").alias("class"), "root")
         rooted = places.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
