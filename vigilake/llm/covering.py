@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import components, ship, without
 from vigilake.session import cut
@@ -20,6 +21,8 @@ RADIUS = 3
 BITS = 64
 #: Fingerprints of one bucket that one comparison holds from either side.
 BLOCK = 1024
+#: Texts whose further values a worker holds at once.
+TEXTS = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -47,17 +50,41 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Add ``fp``: the 64 bits as a signed long."""
+def fingerprints(texts, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprints of some texts as signed longs."""
+    return np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
+def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
+                    also: Callable[[list[str | None]], list[pa.Array]] | None = None,
+                    fields: list[T.StructField] = ()) -> DataFrame:
+    """Add ``fp``: the 64 bits as a signed long.
+
+    ``also`` makes further columns, ``fields``, of up to ``TEXTS`` texts at once. They come from the same
+    pass: two Python functions would hold two workers a task, and Spark keeps all that ever were. Input
+    columns with the added names are replaced.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            found = np.fromiter((fingerprint(t, shingle) for t in batch), np.uint64, len(batch))
-            yield pd.Series(found.view(np.int64))
+            yield pd.Series(fingerprints(batch, shingle))
+
+    if also is None:
+        return docs.withColumn("fp", simhash(text))
+    fields = [T.StructField("fp", T.LongType()), *fields]
 
-    return docs.withColumn("fp", simhash(text))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for start in range(0, len(batch), TEXTS):
+                texts = batch[start:start + TEXTS].to_pylist()
+                yield pa.StructArray.from_arrays([pa.array(fingerprints(texts, shingle)), *also(texts)],
+                                                 names=[f.name for f in fields])
+
+    found = F.arrow_udf(run, T.StructType(fields))
+    plain = without(docs, *[f.name for f in fields])
+    return plain.withColumn("_found", found(text)).select(*[F.col(f"`{c}`") for c in plain.columns], "_found.*")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:

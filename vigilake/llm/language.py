@@ -159,8 +159,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MO
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     each = min(per_language, most_rows / len(counts))
-    shares = docs.sparkSession.createDataFrame(
-        [(r["lang"], max(int(min(1.0, each / r["n"]) * 2**40), r["least"] + 1)) for r in counts], "lang string, below long")
+    # as an Arrow table: rows of Python would pass through Python workers of their own, which Spark keeps
+    shares = docs.sparkSession.createDataFrame(pa.table({
+        "lang": pa.array([r["lang"] for r in counts], pa.string()),
+        "below": pa.array([max(int(min(1.0, each / r["n"]) * 2**40), r["least"] + 1) for r in counts], pa.int64())}))
     sampled = (usable.join(F.broadcast(shares), "lang").filter("draw < below")
                .select("lang", "text").mapInArrow(_training_windows, "lang string, window binary").collect())
     sampled.sort(key=lambda r: (r["lang"], bytes(r["window"])))

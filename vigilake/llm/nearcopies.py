@@ -287,23 +287,20 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     ship(docs.sparkSession)
     common, rank = common_shingles(docs, size)
 
-    def post(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            for sets in _sliced(batch, size):
-                yield pa.StructArray.from_arrays(
-                    [pa.array(np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64,
-                                          len(sets)).view(np.int64)),
-                     pa.array([len(s) for s in sets], pa.int64()),
-                     _lists([prefix(s, common, rank, similarity) for s in sets]),
-                     _lists([marks(s) for s in sets])], names=["class", "n", "prefix", "marks"])
-
-    posted = F.arrow_udf(post, T.StructType([
-        T.StructField("class", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))]))
+    def post(texts: list[str | None]) -> list[pa.Array]:
+        sets = [shingles(t, size) for t in texts]
+        return [pa.array(np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64,
+                                     len(sets)).view(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()),
+                _lists([prefix(s, common, rank, similarity) for s in sets]),
+                _lists([marks(s) for s in sets])]
+
+    posted = [T.StructField("class", T.LongType()), T.StructField("n", T.LongType()),
+              T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))]
     whole = _shingle_sets(size)
     keyed = _keyed(docs.select("doc_id", "text"))
-    rows = _written(covering.add_fingerprint(keyed, shingle=size).select(*KEYS, "fp", posted("text").alias("s"))
-                    .select(*KEYS, "fp", "s.*"))
+    rows = _written(covering.add_fingerprint(keyed, shingle=size, also=post, fields=posted)
+                    .select(*KEYS, "fp", *[f.name for f in posted]))
     classes = cut(rows.groupBy("class").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first")))
     firsts = classes.select("class", *[F.col(f"first.{c}").alias(c) for c in KEYS])
     bucket = Window.partitionBy("h")
