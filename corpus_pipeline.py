@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import bpe, chunks, language, mixing, nearcopies, queries
-from vigilake.session import fresh_path
+from vigilake.session import fresh_path, small_batches
 
 #: Of the held-out documents whose language is predicted rightly, this share is less sure than what is kept.
 UNSURE = 1e-3
@@ -24,6 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     bound follows the number of languages and the corpus. If no document has a language
     to learn from, none is rejected for its score.
     """
+    small_batches(spark)
     net = language.train(docs)
     if net is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -38,11 +39,13 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The covering search of ``op10_simhash`` finds what its radius reaches; an exact check follows, and prefix
     filtering finds the rest.
     """
+    small_batches(spark)
     return nearcopies.one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document holds; a document that loses all its words goes."""
+    small_batches(spark)
     left = chunks.without_repeats(docs)
     gone = (F.size("cut_spans") > 0) & ~F.col("text").rlike(r"\S")
     return (left.filter(~F.coalesce(gone, F.lit(False)))
@@ -56,6 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids``: the mixed corpus as token ids."""
+    small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "source", "text"), queries.vocabulary("word_bpe_49k.json"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -3,9 +3,14 @@
 import random
 import re
 
+import corpus_pipeline
+import pyarrow as pa
+import pytest
 from test_nearcopies import brute
 from test_operators import documents
+from pyspark.sql import functions as F
 from vigilake.llm import covering, language, nearcopies
+from vigilake.session import BATCH_LIMIT
 
 
 def test_a_task_of_the_near_copy_stage_holds_one_python_worker(spark, monkeypatch):
@@ -42,3 +47,31 @@ def test_training_sends_no_rows_through_python_workers(spark, monkeypatch):
     docs = documents(spark, rows)
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: 1 / 0)
     assert language.train(docs).labels == ["de", "en"]
+
+
+def sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())],
+                                         names=["n", "bytes"])
+
+
+@pytest.mark.parametrize("name", ["language", "near_copies", "repeats", "encoding"])
+def test_stages_hand_long_texts_to_python_in_small_batches(spark, name):
+    docs = documents(spark, [(i, f"the cat and the dog {i}", "en", "a") for i in range(3)])
+    long = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    spark.conf.unset(BATCH_LIMIT)
+    try:
+        stage = dict(corpus_pipeline.STAGES)[name](spark, docs, None)
+        seen = long.mapInArrow(sizes, "n long, bytes long").collect()
+        assert stage.columns and sum(r["n"] for r in seen) == 3000 and max(r["bytes"] for r in seen) < 5_000_000
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+
+
+def test_a_limit_that_the_session_names_stays(spark):
+    spark.conf.set(BATCH_LIMIT, "3m")
+    try:
+        corpus_pipeline.near_copy_stage(spark, documents(spark, [(1, "a b", "en", "a")]), None)
+        assert spark.conf.get(BATCH_LIMIT) == "3m"
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
