@@ -49,14 +49,13 @@ def test_training_sends_no_rows_through_python_workers(spark, monkeypatch):
     assert language.train(docs).labels == ["de", "en"]
 
 
-def sizes(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())],
-                                         names=["n", "bytes"])
-
-
 @pytest.mark.parametrize("name", ["language", "near_copies", "repeats", "encoding"])
 def test_stages_hand_long_texts_to_python_in_small_batches(spark, name):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())],
+                                             names=["n", "bytes"])
+
     docs = documents(spark, [(i, f"the cat and the dog {i}", "en", "a") for i in range(3)])
     long = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
     spark.conf.unset(BATCH_LIMIT)
