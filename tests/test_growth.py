@@ -5,9 +5,10 @@ import random
 import time
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
-from vigilake.operators import filters, patterns, screening, similarity, verify
+from vigilake.operators import enrich, filters, patterns, screening, similarity, verify
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -92,3 +93,32 @@ def test_a_signature_refuses_its_copies_at_once(spark, monkeypatch):
     assert {r["seq"]: r["status"] for r in found} == {
         i: "accepted" if i in (0, 200) else "duplicate" for i in (*range(150), 200)}
     assert {r["matched_seq"] for r in found if r["status"] == "duplicate"} == {0}
+
+
+@pytest.mark.parametrize("metric, options", [("ratio", {"first_window": 90, "growth": 2}), ("levenshtein", {})])
+def test_shared_signatures_take_no_round_a_row(spark, monkeypatch, metric, options):
+    """Titles that come again and compete for a few signatures: as many rounds as before would be one an accepted row."""
+    rng = random.Random(6)
+    stems = ["missile strike hits base", "rocket fire over the old port", "missile lands outside", "missile launch near the river",
+             "ballistic missile seen by many residents", "missile parts found"]
+    ends = ["", ", 3 killed", ", 11 soldiers wounded", " say the officials of the ministry", " for the second time in a week"]
+    rows = [(i, f"{rng.choice(stems)} {rng.choice('abcdefgh') * 9}{rng.choice(ends)}", rng.choice(["Gaza", "Beirut"]),
+             f"2026-03-{rng.randrange(10, 14)}", "src", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, title string, location string, date string, source string, content string")
+    signed = {r["seq"]: r["signature"] for r in enrich.signature(df).collect()}
+    score = (lambda p, q: SequenceMatcher(None, p, q).ratio()) if metric == "ratio" else similarity.scorer(metric)
+    accepted, last, want = [], {}, {}
+    for row in rows:
+        def like(old):
+            return score(row[1], old[1]) * 0.6 + score(row[2].lower(), old[2].lower()) * 0.4
+        before = last.get(signed[row[0]])
+        refused = (before is not None and like(before) > 0.8) or any(like(old) > 0.92 for old in accepted)
+        want[row[0]] = "rejected" if refused else "accepted"
+        if not refused:
+            accepted.append(row)
+            last[signed[row[0]]] = row
+    steps = []
+    monkeypatch.setattr(screening, "cut", lambda x, real=screening.cut: steps.append(1) or real(x))
+    found = screening.screen_articles(df, metric=metric, **options).select("seq", "status").collect()
+    assert {r["seq"]: r["status"] if r["status"] == "accepted" else "rejected" for r in found} == want
+    assert len(accepted) > 120 and len(steps) < 60

@@ -13,18 +13,22 @@ ever accepted, and a million copies cost one class. Classes are settled in
 windows over arrival order, each larger than the last: a window is first pruned
 against what earlier windows accepted, and only the survivors are compared with
 each other. A large family of near copies therefore meets its accepted leader,
-not itself.
+not itself. Where signatures are shared, what is left of a window is walked in
+arrival order, each connected part of it on its own: a row is compared with the
+last accepted one of its signature only, so comparisons grow with the rows.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.match import once
+from vigilake.llm.common import components
 from vigilake.operators.enrich import confidence, recap_score, signature
 from vigilake.operators.greedy import chain_select
-from vigilake.operators.similarity import blocked_pairs, could_reach, letter_counts, similarity
+from vigilake.operators.similarity import blocked_pairs, could_reach, letter_counts, scorer, similarity
 from vigilake.session import cut
 
 NEAR = 0.92
@@ -33,6 +37,8 @@ TITLE_WEIGHT, LOCATION_WEIGHT = 0.6, 0.4
 TITLE_FLOOR = (NEAR - LOCATION_WEIGHT) / TITLE_WEIGHT            # 13/15, when locations agree
 LOCATION_FLOOR = (NEAR - TITLE_WEIGHT) / LOCATION_WEIGHT         # 0.8, when titles agree
 DUP_TITLE_FLOOR = (SAME_SIGNATURE - LOCATION_WEIGHT) / TITLE_WEIGHT
+#: Rows of a signature up to which all its pairs are compared; those of a longer one grow too fast.
+CHAIN_ROWS = 128
 
 
 def dedup_signature(df: DataFrame) -> DataFrame:
@@ -155,7 +161,9 @@ def screen_articles(articles: DataFrame, history: DataFrame | None = None, metri
     content. ``history``: already accepted articles, each earlier than every new
     one whatever its ``seq``; ``seq`` is not negative.
     """
-    prepared = cut(signature(recap_score(_with_class(articles))))
+    # few bytes but many word searches: deal the articles out, whatever their files
+    tasks = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prepared = cut(signature(recap_score(_with_class(articles.repartition(tasks, "seq")))))
     candidates = prepared.filter(~F.col("recap_dropped"))
     rows = candidates.select("seq", "cls", "t", "l", "signature")
     old = None
@@ -163,8 +171,9 @@ def screen_articles(articles: DataFrame, history: DataFrame | None = None, metri
         old = signature(_with_class(history)).select(
             (F.col("seq") - BEFORE_ALL).alias("seq"), "cls", "t", "l", "signature")
 
-    dup = cut(signature_edges(rows if old is None else rows.unionByName(old), metric))
-    contested = cut(dup.select("signature").distinct().withColumn("contested", F.lit(True)))
+    members = rows if old is None else rows.unionByName(old)
+    contested = cut(members.groupBy("signature").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter(
+        "a <> z").select("signature", F.lit(True).alias("contested")))
     marked = rows.join(contested, "signature", "left").withColumn(
         "contested", F.coalesce("contested", F.lit(False)))
     # outside contested signatures only the first article of a class can count
@@ -174,7 +183,7 @@ def screen_articles(articles: DataFrame, history: DataFrame | None = None, metri
     nodes = cut(plain.unionByName(marked.filter("contested").select(*plain.columns)))
 
     kept = None if old is None else cut(old)
-    links, dup_lost = None, None
+    links, dup_lost = None, rows.select("seq", F.col("seq").alias("matched_seq"), F.lit(0.0).alias("sim")).limit(0)
     lower = None
     for upper in _window_edges(nodes, first_window, growth):
         window = nodes
@@ -190,53 +199,39 @@ def screen_articles(articles: DataFrame, history: DataFrame | None = None, metri
             links = back if links is None else links.unionByName(back)
             hit = back.select(F.col("new").alias("cls")).union(known.select("cls")).distinct()
             window = cut(window.join(hit, "cls", "left_anti"))
+            if window.isEmpty():
+                continue
             classes = window.select("cls", "t", "l").distinct()
         classes = cut(classes)
         inside = cut(near_edges(classes, classes, metric))
-        won, lost = _settle(window, inside, dup, kept)
+        won, lost = _settle(window, inside, kept, metric)
         kept = won if kept is None else cut(kept.unionByName(won))
-        dup_lost = lost if dup_lost is None else dup_lost.unionByName(lost)
+        dup_lost = dup_lost if lost is None else dup_lost.unionByName(lost)
         links = inside if links is None else links.unionByName(inside)
     return _verdicts(prepared, kept, links, dup_lost)
 
 
-def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: DataFrame | None):
-    """Rounds inside one window. In each, a contested signature first refuses at once the
-    unbroken run of undecided rows that its last accepted row is too like: nothing of that
-    run can become the last accepted one. Then the first undecided row of a class is
-    accepted if no undecided earlier row can reach it: by a near edge, or, in a contested
-    signature, by coming first. So rounds follow the accepted rows, not the refused ones."""
+def _settle(window: DataFrame, near: DataFrame, kept_before: DataFrame | None, metric: str):
+    """Accepted rows of a window, and what its signatures refused (or none). With contested
+    signatures, the window is walked; without, in each round the first undecided row of a class
+    is accepted if no undecided earlier row can reach it by a near edge."""
     cols = ["seq", "cls", "t", "l", "signature"]
-    alive, kept, lost, last = window, None, None, None
-    ordered = not dup.isEmpty()
-    if ordered:
-        alive, kept, lost = _settle_chains(window, near, dup, kept_before)
-        for accepted in (kept_before, kept):
-            last = last if accepted is None else _last(last, accepted.join(
-                alive.filter("contested").select("signature").distinct(), "signature", "left_semi"))
+    if not window.filter("contested").isEmpty():
+        alive, kept, lost = _settle_chains(window, near, kept_before, metric)
+        won, refused = _walk(alive, near, kept_before, metric)
+        return (won, refused) if kept is None else (kept.unionByName(won), lost.unionByName(refused))
+    alive, kept = window, None
     while True:
-        if ordered and last is not None:
-            refused = cut(_refused(alive, last, dup))
-            lost = refused if lost is None else lost.unionByName(refused)
-            alive = alive.join(refused.select("seq"), "seq", "left_anti")
-        first = alive.groupBy("cls").agg(F.min_by(F.struct("seq", "t", "l", "signature", "contested"), "seq")
+        first = alive.groupBy("cls").agg(F.min_by(F.struct("seq", "t", "l", "signature"), "seq")
                                          .alias("f")).select("cls", "f.*")
         seqs = first.select("cls", "seq")
         blocked = (
             near.join(seqs.toDF("new", "new_seq"), "new").join(seqs.toDF("old", "old_seq"), "old")
             .filter(F.col("old_seq") < F.col("new_seq")).select(F.col("new").alias("cls")).distinct()
         )
-        ready = first.join(blocked, "cls", "left_anti")
-        if ordered:
-            sig_first = alive.filter("contested").groupBy("signature").agg(F.min("seq").alias("sig_seq"))
-            ready = ready.join(sig_first, "signature", "left").filter(
-                ~F.col("contested") | (F.col("seq") == F.col("sig_seq"))).drop("sig_seq")
-        ready = cut(ready)
+        ready = cut(first.join(blocked, "cls", "left_anti"))
         if ready.isEmpty():
-            empty = window.select(*cols).limit(0)
-            return (kept if kept is not None else empty,
-                    lost if lost is not None else window.select("seq", F.col("seq").alias("matched_seq"),
-                                                                F.lit(0.0).alias("sim")).limit(0))
+            return (kept if kept is not None else window.select(*cols).limit(0)), None
         won = ready.select(*cols)
         reached = near.join(won.select(F.col("cls").alias("old"), F.col("seq").alias("k_seq")), "old").groupBy(
             F.col("new").alias("cls")).agg(F.min("k_seq").alias("k_seq"))
@@ -244,48 +239,132 @@ def _settle(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: Dat
             alive.join(won.select("cls"), "cls", "left_anti").join(reached, "cls", "left")
             .filter(F.col("k_seq").isNull() | (F.col("seq") < F.col("k_seq"))).select(*window.columns))
         kept = won if kept is None else kept.unionByName(won)
-        if ordered:
-            last = _last(last, ready.filter("contested"))
 
 
-def _last(last: DataFrame | None, accepted: DataFrame) -> DataFrame:
-    """The last accepted row of every signature: ``signature, p`` with its seq and class."""
-    rows = accepted.select("signature", F.struct("seq", "cls").alias("p"))
-    rows = rows if last is None else rows.unionByName(last)
-    return cut(rows.groupBy("signature").agg(F.max("p").alias("p")))
+def _walk(alive: DataFrame, near: DataFrame, kept_before: DataFrame | None, metric: str):
+    """Accepted rows, and rows that their signature refused (``seq, matched_seq, sim``).
 
-
-def _refused(alive: DataFrame, last: DataFrame, dup: DataFrame) -> DataFrame:
-    """``seq, matched_seq, sim`` of the undecided rows before the first of their signature that
-    the last accepted row of the signature lets through."""
-    rows = alive.filter("contested").select("seq", "cls", "signature")
-    last = last.select("signature", F.col("p.seq").alias("matched_seq"), F.col("p.cls").alias("old"))
-    alike = rows.join(last, "signature").join(dup.withColumnRenamed("new", "cls"), ["signature", "cls", "old"], "left")
-    through = alike.filter("sim IS NULL").groupBy("signature").agg(F.min("seq").alias("stop"))
-    return alike.filter("sim IS NOT NULL").join(through, "signature", "left").filter(
-        "stop IS NULL OR seq < stop").select("seq", "matched_seq", "sim").distinct()
-
-
-def _settle_chains(window: DataFrame, near: DataFrame, dup: DataFrame, kept_before: DataFrame | None):
+    Classes are linked by near edges and by contested signatures. What is not connected does not
+    bear on each other, so each connected part is walked on its own by the rule itself: one pass
+    in arrival order that holds the classes it refuses by now and the last accepted row of
+    each signature. Parts are dealt out over tasks, and no task holds the rows of its parts."""
+    cols = ["seq", "cls", "t", "l", "signature"]
+    alive = alive.filter("seq IS NOT NULL")
+    shared = alive.filter("contested").select("signature", "cls").distinct()
+    heads = cut(shared.groupBy("signature").agg(F.min("cls").alias("head")))
+    joined = cut(shared.select("cls").union(near.select(F.col("new").alias("cls"))).distinct())
+    alone = alive.join(joined, "cls", "left_anti").select(*cols)  # one row a class, as no signature is shared
+    number = lambda c: F.xxhash64(F.col(c))  # noqa: E731 (equal numbers would only connect more)
+    parts = cut(components(
+        shared.join(heads, "signature").select(number("cls").alias("a"), number("head").alias("b")).unionByName(
+            near.select(number("new").alias("a"), number("old").alias("b")))))
+
+    def in_part(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("node", number(key)).join(parts, "node", "left").withColumn(
+            "part", F.coalesce("root", "node")).drop("node", "root")
+
+    # in the order of ``part, seq, step``: starts, then the near classes of a class before its first row
+    rows = alive.join(joined, "cls", "left_semi")
+    near_of = near.groupBy(F.col("old").alias("cls")).agg(F.collect_list("new").alias("near"))
+    steps = [in_part(rows, "cls").withColumns({"step": F.lit(2), "near": F.lit(None).cast("array<string>")}),
+             in_part(near_of.join(rows.groupBy("cls").agg(F.min("seq").alias("seq")), "cls"), "cls").withColumns(
+                 {"step": F.lit(1), "contested": F.lit(False)})]
+    if kept_before is not None:
+        starts = kept_before.join(heads, "signature").groupBy("signature", "head").agg(
+            F.max(F.struct("seq", "cls", "t", "l")).alias("s")).select("signature", "head", "s.*")
+        steps.append(in_part(starts, "head").drop("head").withColumns({"step": F.lit(0), "contested": F.lit(True)}))
+    order = ["part", "seq", "step"]
+    fields = [*order, "cls", "t", "l", "signature", "contested", "near"]
+    stream = steps[0].select(*fields)
+    for more in steps[1:]:
+        stream = stream.unionByName(more, allowMissingColumns=True).select(*fields)
+    tasks = int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(stream.repartition(tasks, "part").sortWithinPartitions(*order, "cls", "signature").mapInArrow(
+        _walker(metric), "seq long, cls string, t string, l string, signature string, matched_seq long, sim double"))
+    lost = found.filter("matched_seq IS NOT NULL").select("seq", "matched_seq", "sim").distinct()
+    return found.filter("matched_seq IS NULL").select(*cols).unionByName(alone), lost
+
+
+def _walker(metric: str):
+    """The walk over sorted batches of steps. It is local, so it ships to executors that do not
+    have this package. Rows of one number do not see each other."""
+    score, limit = scorer(metric), SAME_SIGNATURE
+    title_weight, location_weight = TITLE_WEIGHT, LOCATION_WEIGHT
+    out = pa.schema([("seq", pa.int64()), *[(c, pa.string()) for c in ("cls", "t", "l", "signature")],
+                     ("matched_seq", pa.int64()), ("sim", pa.float64())])
+
+    def alike(t: str, l: str, old_t: str, old_l: str) -> float:
+        """The similarity, or 0 if the lengths of the titles alone keep it from the limit."""
+        total = len(t) + len(old_t)
+        if total and 2 * min(len(t), len(old_t)) / total * title_weight + location_weight < limit - 1e-6:
+            return 0.0
+        return score(t, old_t) * title_weight + score(l, old_l) * location_weight
+
+    def walk(batches):
+        part = at = None
+        near_of, refused, last, fresh, known = {}, {}, {}, {}, {}
+        for batch in batches:
+            found = []
+            for here, seq, step, cls, t, l, sig, contested, near in zip(*batch.to_pydict().values()):
+                if here != part:
+                    part, at = here, None
+                    near_of, refused, last, fresh, known = {}, {}, {}, {}, {}
+                if seq != at:
+                    at = seq
+                    last.update(fresh)
+                    fresh = {}
+                if step == 0:
+                    last[sig] = (seq, cls, t, l)
+                    continue
+                if step == 1:
+                    near_of[cls] = near
+                    continue
+                since = refused.get(cls)
+                if since is not None and since[0] < seq or since == (seq, cls):
+                    continue
+                before = last.get(sig) if contested else None
+                if before is not None:
+                    sim = known.get((cls, before[1]))
+                    if sim is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        sim = known[cls, before[1]] = alike(t, l, before[2], before[3])
+                    if sim > limit:
+                        found.append((seq, cls, t, l, sig, before[0], sim))
+                        continue
+                found.append((seq, cls, t, l, sig, None, None))
+                refused[cls] = (seq, cls)
+                for other in near_of.pop(cls, ()):
+                    refused.setdefault(other, (seq, None))
+                fresh[sig] = max(fresh.get(sig, (seq, "")), (seq, cls, t, l))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(out), out)], schema=out)
+
+    return walk
+
+
+def _settle_chains(window: DataFrame, near: DataFrame, kept_before: DataFrame | None, metric: str):
     """What is left of the window, and the verdicts of all rows of contested signatures on
     which nothing but the last accepted one bears: no class of them has a near edge or a
-    second row here. Such a signature is settled as a whole, however many rows compete."""
+    second row here. Such a signature, unless it is long, is settled as a whole."""
     cols = ["seq", "cls", "t", "l", "signature"]
     rows = window.filter("contested").select(*cols)
     touched = near.select(F.col("new").alias("cls")).union(near.select(F.col("old").alias("cls"))).union(
         window.groupBy("cls").agg(F.count("*").alias("_n")).filter("_n > 1").select("cls")).distinct()
-    mixed = rows.join(touched, "cls", "left_semi").select("signature").distinct()
-    quiet = cut(rows.join(mixed, "signature", "left_anti"))
+    mixed = rows.join(touched, "cls", "left_semi").select("signature").union(
+        rows.groupBy("signature").agg(F.count("*").alias("_n")).filter(F.col("_n") > CHAIN_ROWS).select("signature"))
+    quiet = cut(rows.join(mixed.distinct(), "signature", "left_anti"))
     if quiet.isEmpty():
         return window, None, None
     heads = quiet.select("signature").distinct()
-    nodes = quiet.select("signature", "cls", "seq")
+    members = quiet.select(*cols)
     if kept_before is not None:
         starts = kept_before.join(heads, "signature", "left_semi").groupBy("signature").agg(
-            F.max(F.struct("seq", "cls")).alias("s"))
-        nodes = nodes.unionByName(starts.select("signature", F.col("s.cls").alias("cls"), F.col("s.seq").alias("seq")))
-    nodes = cut(nodes)
-    pairs = cut(dup.join(nodes.withColumnRenamed("cls", "new"), ["signature", "new"])
+            F.max(F.struct("seq", "cls", "t", "l")).alias("s"))
+        members = members.unionByName(starts.select("s.seq", "s.cls", "s.t", "s.l", "signature"))
+    members = cut(members)
+    nodes = members.select("signature", "cls", "seq")
+    pairs = cut(signature_edges(members, metric).join(nodes.withColumnRenamed("cls", "new"), ["signature", "new"])
                 .join(nodes.toDF("signature", "old", "p_seq"), ["signature", "old"]).filter("p_seq < seq")
                 .select(F.col("seq").alias("node"), F.col("p_seq").alias("blocker"), "sim"))
     found = cut(chain_select(nodes.select(F.col("signature").alias("key"), F.col("seq").alias("node"),

@@ -58,6 +58,39 @@ def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(batch, T.DoubleType())(a, b)
 
 
+def scorer(metric: str):
+    """A function of two strings with the result of ``similarity``. It is local, so it ships to
+    executors that do not have this package."""
+    if metric == "ratio":
+        return matcher()
+    if metric != "levenshtein":
+        raise ValueError(f"unknown metric {metric!r}")
+
+    def edits(p: str, q: str) -> float:
+        """Edit distance by columns of bits (Myers 1999, Hyyro 2003), as a share of the longer string."""
+        longest = max(len(p), len(q))
+        if not p or not q:
+            return 0.0 if longest else 1.0
+        places, every, top = {}, (1 << len(p)) - 1, 1 << (len(p) - 1)
+        for i, c in enumerate(p):
+            places[c] = places.get(c, 0) | 1 << i
+        up, down, distance = every, 0, len(p)
+        for c in q:
+            equal = places.get(c, 0)
+            flat = equal | down
+            cross = (((equal & up) + up) ^ up) | equal
+            more, less = down | ~(cross | up), up & cross
+            if more & top:
+                distance += 1
+            elif less & top:
+                distance -= 1
+            more, less = (more << 1 | 1) & every, less << 1 & every
+            up, down = less | ~(flat | more) & every, more & flat
+        return 1.0 - distance / longest
+
+    return edits
+
+
 def similarity(a: Column, b: Column, metric: str = "ratio") -> Column:
     if metric == "ratio":
         return ratio(a, b)
