@@ -122,3 +122,13 @@ def test_shared_signatures_take_no_round_a_row(spark, monkeypatch, metric, optio
     found = screening.screen_articles(df, metric=metric, **options).select("seq", "status").collect()
     assert {r["seq"]: r["status"] if r["status"] == "accepted" else "rejected" for r in found} == want
     assert len(accepted) > 120 and len(steps) < 60
+
+
+def test_scorer_is_the_edit_distance_of_spark(spark):
+    rng = random.Random(8)
+    texts = ["", "a", "é\U0001f680", "missile strike", *["".join(rng.choices("ab\U0001f680 é", k=rng.randrange(120))) for _ in range(150)]]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(400)] + [("", ""), ("", "a"), ("a", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, p string, q string")
+    got = df.select("i", similarity.similarity(F.col("p"), F.col("q"), "levenshtein").alias("s")).collect()
+    score = similarity.scorer("levenshtein")
+    assert [r["s"] for r in sorted(got)] == [score(p, q) for p, q in pairs]
