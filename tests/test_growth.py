@@ -132,3 +132,21 @@ def test_scorer_is_the_edit_distance_of_spark(spark):
     got = df.select("i", similarity.similarity(F.col("p"), F.col("q"), "levenshtein").alias("s")).collect()
     score = similarity.scorer("levenshtein")
     assert [r["s"] for r in sorted(got)] == [score(p, q) for p, q in pairs]
+
+
+def test_followups_send_chunks_not_events(spark, monkeypatch):
+    """Each event looks at nine bins, yet fewer rows than there are events are dealt out."""
+    monkeypatch.setattr(patterns, "ROWS_PER_CHUNK", 50, raising=False)
+    monkeypatch.setattr(patterns, "ROWS_PER_SALT", 200)
+    rng = random.Random(4)
+    rows = [(i, "Iran", "drone", START + datetime.timedelta(minutes=rng.randrange(1800))) for i in range(600)]
+    rows += [rows[5], rows[7], (None, "Iran", None, START), (None, "Iran", "drone", START), (601, "Oman", "drone", START)]
+    events = spark.createDataFrame(rows, "id long, country string, type string, published timestamp_ntz")
+    kind, sent = type(events), []
+    monkeypatch.setattr(kind, "repartition", lambda df, *a, real=kind.repartition: sent.append(df.count()) or real(df, *a))
+    found = patterns.followups(events, "24h").select("a_id", "a_type", "b_id", "b_type").collect()
+    day = datetime.timedelta(hours=24)
+    want = [(a, x, b, y) for a, ca, x, ta in rows for b, cb, y, tb in rows if ca == cb and tb - ta <= day
+            and (tb > ta or (tb == ta and a is not None and b is not None and b > a))]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    assert sent and sum(sent) < len(rows)
